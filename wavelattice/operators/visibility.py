@@ -50,6 +50,11 @@ def _horizontal(x: np.ndarray, rule: str) -> tuple[list[int], list[int]]:
     return src, dst
 
 
+def named(name: object, n: int) -> pd.Series:
+    """A column of one series id, also where that is a struct."""
+    return pd.Series([name] * n, dtype=object if isinstance(name, (dict, str)) else None)
+
+
 def _records(x: np.ndarray, rule: str) -> np.ndarray:
     """Mask of the points that can see beyond the stretch: records from the left and from the right."""
     left, right = np.maximum.accumulate(x), np.maximum.accumulate(x[::-1])[::-1]
@@ -77,7 +82,7 @@ def hvg_edges(points: DataFrame, tie_rule: str = "stack", limit: int | None = No
         a, b = _horizontal(x, tie_rule)
         keep = np.flatnonzero(_records(x, tie_rule))
         name = pdf["series_id"].iloc[0]
-        out = pd.DataFrame({"series_id": name, "src": np.r_[t[a], t[keep]], "dst": np.r_[t[b], t[keep]], "x": np.r_[np.zeros(len(a)), x[keep]], "edge": np.r_[np.ones(len(a), bool), np.zeros(len(keep), bool)]})
+        out = pd.DataFrame({"series_id": named(name, len(a) + len(keep)), "src": np.r_[t[a], t[keep]], "dst": np.r_[t[b], t[keep]], "x": np.r_[np.zeros(len(a)), x[keep]], "edge": np.r_[np.ones(len(a), bool), np.zeros(len(keep), bool)]})
         return out.astype({"src": "int64", "dst": "int64", "edge": "bool"})
 
     def bridge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -86,7 +91,7 @@ def hvg_edges(points: DataFrame, tie_rule: str = "stack", limit: int | None = No
         a, b = _horizontal(x, tie_rule)
         a, b = t[np.asarray(a, dtype=np.int64)], t[np.asarray(b, dtype=np.int64)]
         across = a // shard_points != b // shard_points
-        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "src": a[across], "dst": b[across]}).astype({"src": "int64", "dst": "int64"})
+        return pd.DataFrame({"series_id": named(pdf["series_id"].iloc[0], int(across.sum())), "src": a[across], "dst": b[across]}).astype({"src": "int64", "dst": "int64"})
 
     swept = points.select("series_id", "t", "value", F.floor(F.col("t") / F.lit(shard_points)).alias("shard")).groupBy("series_id", "shard").applyInPandas(lambda pdf: sweep(pdf), schema)
     edges = swept.where("edge").select("series_id", "src", "dst")
@@ -147,7 +152,7 @@ def nvg_edges(
             np.maximum(top[:m], slope, out=top[:m])
         a = np.concatenate(src) if src else np.empty(0, dtype=np.int64)
         b = np.concatenate(dst) if dst else np.empty(0, dtype=np.int64)
-        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "src": t[a], "dst": t[b]}).astype({"src": "int64", "dst": "int64"})
+        return pd.DataFrame({"series_id": named(pdf["series_id"].iloc[0], len(a)), "src": t[a], "dst": t[b]}).astype({"src": "int64", "dst": "int64"})
 
     edges = spread.groupBy("series_id", "shard").applyInPandas(sweep, f"series_id {kind}, src long, dst long")
     if max_edges_per_node:

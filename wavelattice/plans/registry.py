@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from wavelattice.plans import preparation, visibility
+from wavelattice.plans import dynamics, preparation, visibility
 
-MODULES = (visibility, preparation)
+MODULES = (visibility, dynamics, preparation)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavelattice.operators.grouped import stream_groups
+
 TIE_RULES = ("stack", "strict", "loose")
 WEIGHTS = ("absdiff", "time_gap", "slope", "min_clearance", "inv_dist", "distance", "product", "mean")
 
@@ -50,18 +52,13 @@ def _horizontal(x: np.ndarray, rule: str) -> tuple[list[int], list[int]]:
     return src, dst
 
 
-def named(name: object, n: int) -> pd.Series:
-    """A column of one series id, also where that is a struct."""
-    return pd.Series([name] * n, dtype=object if isinstance(name, (dict, str)) else None)
-
-
 def _records(x: np.ndarray, rule: str) -> np.ndarray:
     """Mask of the points that can see beyond the stretch: records from the left and from the right."""
     left, right = np.maximum.accumulate(x), np.maximum.accumulate(x[::-1])[::-1]
     return (x >= left) | (x >= right)
 
 
-def hvg_edges(points: DataFrame, tie_rule: str = "stack", limit: int | None = None, shard_points: int = 500_000) -> DataFrame:
+def hvg_edges(points: DataFrame, tie_rule: str = "stack", limit: int | None = None, shard_points: int = 100_000) -> DataFrame:
     """``series_id, src, dst`` of the horizontal visibility graph (src < dst).
 
     ``stack``: next strictly greater and previous greater-or-equal value; ``strict``: everything
@@ -74,31 +71,38 @@ def hvg_edges(points: DataFrame, tie_rule: str = "stack", limit: int | None = No
     if tie_rule not in TIE_RULES:
         raise ValueError(f"tie_rule must be one of {TIE_RULES}")
     kind = points.schema["series_id"].dataType.simpleString()
-    schema = f"series_id {kind}, src long, dst long, x double, edge boolean"
-
-    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        t, x = pdf["t"].to_numpy(), pdf["value"].to_numpy()
-        a, b = _horizontal(x, tie_rule)
-        keep = np.flatnonzero(_records(x, tie_rule))
-        name = pdf["series_id"].iloc[0]
-        out = pd.DataFrame({"series_id": named(name, len(a) + len(keep)), "src": np.r_[t[a], t[keep]], "dst": np.r_[t[b], t[keep]], "x": np.r_[np.zeros(len(a)), x[keep]], "edge": np.r_[np.ones(len(a), bool), np.zeros(len(keep), bool)]})
-        return out.astype({"src": "int64", "dst": "int64", "edge": "bool"})
-
-    def bridge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("src")
-        t, x = pdf["src"].to_numpy(), pdf["x"].to_numpy()
-        a, b = _horizontal(x, tie_rule)
-        a, b = t[np.asarray(a, dtype=np.int64)], t[np.asarray(b, dtype=np.int64)]
-        across = a // shard_points != b // shard_points
-        return pd.DataFrame({"series_id": named(pdf["series_id"].iloc[0], int(across.sum())), "src": a[across], "dst": b[across]}).astype({"src": "int64", "dst": "int64"})
-
-    swept = points.select("series_id", "t", "value", F.floor(F.col("t") / F.lit(shard_points)).alias("shard")).groupBy("series_id", "shard").applyInPandas(lambda pdf: sweep(pdf), schema)
-    edges = swept.where("edge").select("series_id", "src", "dst")
-    # Series of one shard have nothing to bridge: their records are dropped before the second sweep.
-    whole = Window.partitionBy("series_id")
-    records = swept.where("not edge").withColumn("last", F.max("src").over(whole)).where(F.col("last") >= shard_points)
-    edges = edges.unionByName(records.select("series_id", "src", "x").groupBy("series_id").applyInPandas(bridge, f"series_id {kind}, src long, dst long"))
+    longest = points.groupBy("series_id").count().agg(F.max("count")).first()[0] or 0
+
+    def sweep(rows: pd.DataFrame, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = rows["value"].to_numpy()
+        src: list[int] = []
+        dst: list[int] = []
+        for lo, hi in zip(starts, np.r_[starts[1:], len(x)]):
+            a, b = _horizontal(x[lo:hi], tie_rule)
+            src += (np.asarray(a, dtype=np.int64) + lo).tolist()
+            dst += (np.asarray(b, dtype=np.int64) + lo).tolist()
+        return np.asarray(src, dtype=np.int64), np.asarray(dst, dtype=np.int64)
+
+    def edges_of(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        a, b = sweep(rows, starts)
+        t = rows["t"].to_numpy()
+        return pd.DataFrame({"series_id": rows["series_id"].to_numpy()[a], "src": t[a], "dst": t[b]})
+
+    def records_of(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        x = rows["value"].to_numpy()
+        keep = np.concatenate([_records(x[lo:hi], tie_rule) for lo, hi in zip(starts, np.r_[starts[1:], len(x)])])
+        return rows.loc[keep, ["series_id", "t", "value"]]
+
+    def bridges(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        out = edges_of(rows, starts)
+        return out[out["src"] // shard_points != out["dst"] // shard_points]
+
+    edge = f"series_id {kind}, src long, dst long"
+    sharded = points.select("series_id", "t", "value", F.floor(F.col("t") / F.lit(shard_points)).alias("shard"))
+    edges = stream_groups(sharded, ["series_id", "shard"], "t", edges_of, edge)
+    if longest > shard_points:  # else no series has a second shard
+        records = stream_groups(sharded, ["series_id", "shard"], "t", records_of, f"series_id {kind}, t long, value double")
+        edges = edges.unionByName(stream_groups(records, ["series_id"], "t", bridges, edge))
     if limit is not None and limit > 0:
         edges = edges.where(F.col("dst") - F.col("src") <= limit)
     return edges
@@ -110,7 +114,7 @@ def nvg_edges(
     strict: bool = False,
     max_edges: int | None = None,
     max_edges_per_node: int | None = None,
-    shard_points: int = 200_000,
+    shard_points: int = 50_000,
     long_series: int = 10_000,
     long_limit: int = 5_000,
 ) -> DataFrame:
@@ -135,26 +139,32 @@ def nvg_edges(
     first = F.greatest(F.lit(0), F.floor((F.col("t") - F.col("reach")) / F.lit(shard_points))).cast("long")
     spread = sized.withColumn("shard", F.explode(F.sequence(first, shard)))
 
-    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        t, x, most = pdf["t"].to_numpy(), pdf["value"].to_numpy(), int(pdf["reach"].iloc[0])
-        own = int(((t // shard_points) == pdf["shard"].iloc[0]).sum())  # the shard's own points come first
+    def sweep(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        t, x = rows["t"].to_numpy(), rows["value"].to_numpy()
         n = len(x)
-        top = np.full(own, -np.inf)
+        group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, n]))
+        own = t // shard_points == rows["shard"].to_numpy()  # others are context of the shard
+        most = rows["reach"].to_numpy()
+        ends = np.r_[starts[1:], n][group]
+        far = np.where(own, np.minimum(most, ends - 1 - np.arange(n)), 0)
+        top = np.full(n, -np.inf)
         src, dst = [], []
-        for k in range(1, min(most, n - 1) + 1):
-            m = min(own, n - k)
-            slope = (x[k : k + m] - x[:m]) / k
-            seen = slope > top[:m] if strict else slope >= top[:m]
-            at = np.flatnonzero(seen)
+        live = np.flatnonzero(far > 0)
+        k = 1
+        while len(live):
+            slope = (x[live + k] - x[live]) / k
+            seen = slope > top[live] if strict else slope >= top[live]
+            at = live[seen]
             src.append(at)
             dst.append(at + k)
-            np.maximum(top[:m], slope, out=top[:m])
+            top[live] = np.maximum(top[live], slope)
+            k += 1
+            live = live[far[live] >= k]
         a = np.concatenate(src) if src else np.empty(0, dtype=np.int64)
         b = np.concatenate(dst) if dst else np.empty(0, dtype=np.int64)
-        return pd.DataFrame({"series_id": named(pdf["series_id"].iloc[0], len(a)), "src": t[a], "dst": t[b]}).astype({"src": "int64", "dst": "int64"})
+        return pd.DataFrame({"series_id": rows["series_id"].to_numpy()[a], "src": t[a], "dst": t[b]})
 
-    edges = spread.groupBy("series_id", "shard").applyInPandas(sweep, f"series_id {kind}, src long, dst long")
+    edges = stream_groups(spread, ["series_id", "shard"], "t", sweep, f"series_id {kind}, src long, dst long")
     if max_edges_per_node:
         edges = edges.withColumn("__k", F.row_number().over(Window.partitionBy("series_id", "src").orderBy("dst"))).where(F.col("__k") <= max_edges_per_node).drop("__k")
     if max_edges:

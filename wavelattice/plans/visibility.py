@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from wavelattice.operators import graph, graphpaths
 from wavelattice.operators.visibility import edge_weights, hvg_edges, nvg_edges
+from wavelattice.operators.series import number_points
 from wavelattice.plans.common import DEGREES, HVG, ORDERS, POINTS, SUMMARY, nvg, order_days, r, rounded, user_points
+from wavelattice.session import read_table
 
 LIMIT = 20
 
@@ -35,6 +37,23 @@ def v1_hvg_edges_long(spark, d):
     return hvg_edges(order_days(spark, d), shard_points=300)
 
 
+def _line(spark, d):
+    """All of lineitem as one long series of prices, in order of order and line."""
+    return number_points(read_table(spark, d, "lineitem").withColumn("one", F.lit("lineitem")), "one", ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"), "l_extendedprice")
+
+
+def v3_hvg_long_stats(spark, d):
+    """One series of as many points as lineitem has rows, in shards."""
+    p = _line(spark, d)
+    return rounded(graph.summary(graph.nodes_of(p), hvg_edges(p)))
+
+
+def v13_nvg_long_stats(spark, d):
+    """The same series within a horizon of 300 points."""
+    p = _line(spark, d)
+    return rounded(graph.summary(graph.nodes_of(p), nvg_edges(p, 300)))
+
+
 def v2_hvg_loose_edges(spark, d):
     return _hvg(spark, d, tie_rule="loose")[1]
 
@@ -222,7 +241,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         v1_hvg_stats, v1_hvg_edges, v1_hvg_edges_long, v2_hvg_loose_edges, v6_hvg_strict_edges, v5_hvg_limited_edges, v7_hvg_directed_degrees,
-        v8_nvg_edges, v8_nvg_edges_long, v10_nvg_strict_edges, v11_nvg_stats, v12_nvg_capped_edges, v18_nvg_slopes,
+        v3_hvg_long_stats, v13_nvg_long_stats, v8_nvg_edges, v8_nvg_edges_long, v10_nvg_strict_edges, v11_nvg_stats, v12_nvg_capped_edges, v18_nvg_slopes,
         a1_degrees, a4_directed_stats, a5_weight_stats, a6_triangles, a7_graph_summary, a8_small_world, a9_motif_summary, a12_assortativity,
         g1_clustering, g4_node_triangles, g5_path_lengths, g7_components, g7_giant_component, g8_communities, g8_modularity,
         g11_node_features, g11_pagerank, g12_node_roles, g14_motifs3, g15_motifs4, g17_core_numbers, u3_mutual_edges,
@@ -257,6 +276,8 @@ ORACLES = {
     "v1_hvg_stats": f"{_E_HVG}, {DEGREES} {SUMMARY}",
     "v1_hvg_edges": f"{_E_HVG} select * from e",
     "v1_hvg_edges_long": f"with {ORDERS}, {HVG} select * from e",
+    "v13_nvg_long_stats": f"""with pts as (select 'lineitem' as series_id, cast(row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 as bigint) as t, l_extendedprice as x from lineitem where l_extendedprice is not null),
+      {nvg(300)}, {DEGREES} {SUMMARY}""",
     "v2_hvg_loose_edges": _pairwise("<="),
     "v6_hvg_strict_edges": _pairwise("<"),
     "v5_hvg_limited_edges": f"{_E_HVG} select * from e where dst - src <= 5",

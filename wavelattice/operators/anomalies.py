@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavelattice.functions.stats import esd_limit
@@ -63,17 +63,19 @@ def spike_limits(rows: DataFrame, parts: DataFrame, alpha: float, max_share: flo
     its readings).  Walking the bins from the largest residual down, the generalised ESD
     limit for the number of values so far is compared with the bin; the last bin above
     its limit ends the outliers, at most ``max_share`` of the readings.  Of these, only
-    values parted by a factor ``far`` from all that the source shows otherwise are spikes:
-    recurring peaks form no such gap.
+    values parted by a factor ``far`` from all that the source shows otherwise are spikes.
+    Values beyond such a gap are yet normal where they recur: on more than five days and either
+    on more than half of the source's days, or on a fifth and once in 125 readings.
     """
     r = (F.col("y") - F.col("t") - F.coalesce(F.try_element_at("s", F.col("hour")), F.lit(0.0))) / F.greatest("sd", F.lit(min_sd))
-    scored = rows.join(parts, ["src", "shard"]).select("src", "y", "n_src", r.alias("r"))
+    scored = rows.join(parts, ["src", "shard"]).select("src", "y", "day", "n_src", r.alias("r"))
     wide = F.abs("r") > 2.0
     bins = scored.groupBy(
         "src",
         F.when(wide, F.signum("r")).otherwise(0).cast("int").alias("side"),
         F.when(wide, F.floor(F.abs("r") * 20)).otherwise(0).cast("long").alias("rb"),
         F.when(wide, F.floor(F.col("y") * 50)).otherwise(0).cast("long").alias("yb"),
+        F.when(wide, F.col("day")).alias("day"),
     ).agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.max("n_src").alias("n_src"))
     down = Window.partitionBy("src").orderBy(F.desc("rb")).rangeBetween(Window.unboundedPreceding, 0)
     walked = bins.withColumn("i", F.sum("n").over(down)).withColumn("limit", esd_limit(F.col("n_src").cast("double"), F.col("i").cast("double"), alpha))
@@ -89,7 +91,16 @@ def spike_limits(rows: DataFrame, parts: DataFrame, alpha: float, max_share: flo
     gap = math.log(far)
     high = F.when(F.col("out") & (F.col("side") > 0) & (F.col("y0") > F.col("top")) & (F.col("y0") - F.col("below") >= gap), F.col("y0"))
     deep = F.when(F.col("out") & (F.col("side") < 0) & (F.col("y1") < F.col("low")) & (F.col("above") - F.col("y1") >= gap), F.col("y1"))
-    return rest.groupBy("src").agg(F.min(high).alias("hi"), F.max(deep).alias("lo"))
+    limits = rest.groupBy("src").agg(F.min(high).alias("hi"), F.max(deep).alias("lo"))
+    active = rows.select("src", "shard", "day").distinct().groupBy("src").agg(F.count_distinct("day").alias("days"))
+    above, under = F.col("y0") >= F.col("hi"), F.col("y1") <= F.col("lo")
+    seen = rest.join(limits, "src").groupBy("src").agg(F.first("hi").alias("hi"), F.first("lo").alias("lo"), F.max("n_src").alias("n"), F.count_distinct(F.when(above, F.col("day"))).alias("dh"), F.count_distinct(F.when(under, F.col("day"))).alias("dl"))
+
+    def rare(d: str, limit: str) -> Column:
+        recurs = (F.col(d) > 5) & ((F.col(d) > 0.5 * F.col("days")) | ((F.col(d) > 0.2 * F.col("days")) & (F.col(d) > F.col("n") / 125)))
+        return F.when(~recurs, F.col(limit))
+
+    return seen.join(active, "src").select("src", rare("dh", "hi").alias("hi"), rare("dl", "lo").alias("lo"))
 
 
 def stuck_runs(rows: DataFrame, min_run: int, expected: float) -> DataFrame:
@@ -143,7 +154,7 @@ def implausible_readings(
     alpha: float = 0.05,
     max_share: float = 0.1,
     far: float = 3.0,
-    min_run: int = 10,
+    min_run: int = 12,
     expected_chance_runs: float = 0.1,
     fillers: Sequence[float] = FILLERS,
 ) -> DataFrame:
@@ -163,7 +174,7 @@ def implausible_readings(
     rows = rows.select("src", "shard", "us", "val", F.col("x0").alias("id"), "ord")
     bad = (F.col("val") < 0) | F.col("val").isin([float(f) for f in fillers]) | (F.abs("val") == float("inf"))
     positive = rows.where(~bad & (F.col("val") > 0)).select(
-        "src", "shard", F.floor(F.pmod(F.col("us"), F.lit(24 * _HOUR_US)) / F.lit(_HOUR_US)).cast("int").alias("hour"), F.log("val").alias("y")
+        "src", "shard", F.floor(F.pmod(F.col("us"), F.lit(24 * _HOUR_US)) / F.lit(_HOUR_US)).cast("int").alias("hour"), F.floor(F.col("us") / F.lit(24 * _HOUR_US)).cast("int").alias("day"), F.log("val").alias("y")
     )
     parts = _decompose(positive, min_rows=24)
     limits = spike_limits(positive, parts, alpha, max_share, far)

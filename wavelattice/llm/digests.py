@@ -22,6 +22,8 @@ def _scale(q: Column, delta: float) -> Column:
 
 def _finite(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """``k0, k1, ..., v``: rows whose keys are not null and whose value is a finite number."""
+    if not keys:
+        raise ValueError("at least one key column is needed")
     out = df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(value).cast("double").alias("v"))
     keep = F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf"))
     for i in range(len(keys)):
@@ -78,9 +80,9 @@ def partial_digests(df: DataFrame, keys: Sequence[str], value: str, delta: float
 
 def _recluster(df: DataFrame, by: Sequence[str], delta: float) -> DataFrame:
     """Centroids of each group, sorted by mean and clustered anew by the size function."""
-    ordered = Window.partitionBy(*by).orderBy("mean", "low", "weight") if by else Window.orderBy("mean", "low", "weight")
+    ordered = Window.partitionBy(*by).orderBy("mean", "low", "weight")
     upto = F.sum("weight").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("weight").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))
+    total = F.sum("weight").over(Window.partitionBy(*by))
     q = (F.col("upto") - F.col("weight") / 2) / F.col("total")
     numbered = df.withColumn("upto", upto).withColumn("total", total).withColumn("cluster", F.floor(_scale(q, delta) + delta / 4))
     merged = numbered.groupBy(*by, "cluster").agg(
@@ -145,11 +147,11 @@ def certify(df: DataFrame, keys: Sequence[str], value: str, estimates: DataFrame
     held = cut_lineage(estimates.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], "n", "q", "estimate"))
     grouped = held.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("q", "estimate"))).alias("e"))
     if grouped.count() <= broadcast_rows:
-        joined = rows.join(F.broadcast(grouped), names) if names else rows.crossJoin(F.broadcast(grouped))
+        joined = rows.join(F.broadcast(grouped), names)
     else:
         salted = grouped.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).join(salted, [*names, "salt"])
-    width = held.agg(F.count_distinct("q")).first()[0] if names else held.count()
+    width = max(1, held.agg(F.count_distinct("q")).first()[0])
     counts = []
     for i in range(width):
         e = F.get("e", F.lit(i))["estimate"]

@@ -283,7 +283,7 @@ def find_leaks(
     piece: int = 8,
     need: int = 4,
     far: int = 15,
-    lone: int = 2,
+    lone: int = 1,
     block_chars: int = 8_000_000,
 ) -> DataFrame:
     """``item_id, doc_id``: every pair where at least ``run`` consecutive words of the item's passage stand in the document.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelattice.operators.anomalies import implausible_readings
+from wavelattice.operators.anomalies import FILLERS, implausible_readings
 from wavelattice.operators.grid import regular_grid
 from wavelattice.operators.nested import areas_table, flatten_records, observations_table, revisions_table, series_table
 from wavelattice.operators.rolling import rolling_totals
@@ -165,4 +165,57 @@ ORACLES: dict[str, str] = {
         group by 1, 2, 3)
       select meter_id, strftime(d, '%Y-%m-%d') cal_day, cast(w as bigint) window_days, round(total, 4) total_kwh,
         round(total / w, 4) mean_kwh_per_day, cast(n as bigint) n_readings from framed""",
+    "p6_found": """with recursive valid as (select record_id, cast(record as json) as j from elec where record_id is not null and record is not null and json_valid(record)),
+      tops as (select record_id, unnest(case when json_type(j) = 'OBJECT' and json_type(j, '$.series') = 'ARRAY' and json_type(j, '$.data') is null then json_extract(j, '$.series[*]')
+        when json_type(j) = 'ARRAY' then json_extract(j, '$[*]') else [j] end) as s from valid),
+      tree(record_id, s, sid, holder, pos) as (
+        select record_id, s, coalesce(json_extract_string(s, '$.series_id'), ''), cast(null as varchar), cast(null as bigint) from tops
+          where json_type(s) = 'OBJECT' and len(list_intersect(json_keys(s), ['series_id', 'name', 'data', 'children', 'geography', 'units'])) > 0
+        union all
+        select record_id, c, coalesce(json_extract_string(c, '$.series_id'), ''), sid, cast(k - 1 as bigint) from (
+          select record_id, sid, unnest(json_extract(s, '$.children[*]')) as c, unnest(range(1, len(json_extract(s, '$.children[*]')) + 1)) as k from tree)
+          where json_type(c) = 'OBJECT' and c::varchar <> '{}'),
+      held as (select record_id, sid, case when json_type(s, '$.data') = 'VARCHAR' then case when json_valid(json_extract_string(s, '$.data')) then cast(json_extract_string(s, '$.data') as json) end else json_extract(s, '$.data') end as d, s from tree),
+      obs as (select record_id, sid, unnest(json_extract(d, '$[*]')) as o, unnest(range(0, len(json_extract(d, '$[*]')))) as pos from held where json_type(d) = 'ARRAY'),
+      revs as (select record_id, sid, pos, unnest(json_extract(o, '$.revisions[*]')) as v from obs where json_type(o) = 'OBJECT'),
+      geo as (select record_id, sid, unnest(case when json_type(s, '$.geography') = 'ARRAY' then json_extract(s, '$.geography[*]') else [json_extract(s, '$.geography')] end) as g,
+        unnest(range(0, case when json_type(s, '$.geography') = 'ARRAY' then len(json_extract(s, '$.geography[*]')) else 1 end)) as pos from held),
+      codes as (select record_id, sid, pos, case when json_type(g) = 'OBJECT' then json_extract_string(g, '$.code') else json_extract_string(g, '$') end as code from geo where g is not null),
+      periods as (select record_id, sid, pos, case when json_type(o) = 'OBJECT' then json_extract_string(o, '$.period') else json_extract_string(o, '$[0]') end as period from obs)
+      select record_id, holder as series_id, 'series' as child_kind, pos as child_pos, sid as child_key from tree where holder is not null
+      union all select record_id, sid, 'data', pos, period from periods where period is not null and trim(period) <> ''
+      union all select record_id, sid, 'revision', pos, coalesce(json_extract_string(v, '$.on'), '') from revs where json_type(v) = 'OBJECT' and v::varchar <> '{}'
+      union all select record_id, sid, 'geography', pos, code from codes where code is not null and trim(code) <> ''""",
+    "p4_found": """with cfg as (select name, time_col, coalesce(tz, 'UTC') as tz from dataset_config where path = 'data_morocco'),
+      raw as (select row_id, dataset, tz, regexp_replace(case time_col when 'datetime' then datetime when 'logged_at' then logged_at end, '^[\\s\u00a0"]+|[\\s\u00a0"]+$', '', 'g') as t from data_morocco join cfg on cfg.name = dataset),
+      cut as (select *, regexp_extract(t, '(Z|[+-]\\d\\d:?\\d\\d|CEST|CET|WEST|WET|EDT|EST|GMT)(\\[.*\\])?$', 1) as z, regexp_matches(t, '^\\d+$') as digits from raw where t is not null),
+      words as (select *, replace(regexp_replace(regexp_replace(regexp_replace(case when z = '' then t else regexp_replace(t, '\\s*(Z|[+-]\\d\\d:?\\d\\d|CEST|CET|WEST|WET|EDT|EST|GMT)(\\[.*\\])?$', '') end,
+        '^[A-Z][a-z]{2}, (\\d)', '\\1'), '(\\d\\d)h(\\d\\d)$', '\\1:\\2'), '(\\d),(\\d{3})$', '\\1.\\2'), '.,', '.') as w from cut),
+      names as (select *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(w,
+        '(janv|ene)\\.?', 'Jan', 'i'), '(févr|feb)\\.?', 'Feb', 'i'), '(mars|mar)\\.?', 'Mar', 'i'), '(avr|abr)\\.?', 'Apr', 'i'), '(mai|may)\\.?', 'May', 'i'), '(juin|jun)\\.?', 'Jun', 'i'), '(juil|jul)\\.?', 'Jul', 'i'),
+        '(août|ago)\\.?', 'Aug', 'i'), '(sept|sep)\\.?', 'Sep', 'i'), '(oct)\\.?', 'Oct', 'i'), '(nov)\\.?', 'Nov', 'i'), '(déc|dic|dec)\\.?', 'Dec', 'i') as b from words),
+      parsed as (select *, case when dataset = 'newyork_vendor' then try_strptime(replace(b, ' 24:00', ' 00:00'), ['%m/%d/%Y %I:%M:%S %p', '%m/%d/%Y %H:%M', '%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H:%M', '%b %d, %Y %H:%M:%S', '%Y-%m-%d'])
+        else try_strptime(replace(b, ' 24:00', ' 00:00'), ['%Y-%m-%d %H:%M:%S.%f', '%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H:%M', '%Y-%m-%dT%H:%M:%S.%f', '%Y-%m-%dT%H:%M:%S', '%d/%m/%Y %H:%M', '%d/%m/%y %H:%M:%S', '%d.%m.%Y %H:%M:%S', '%d-%b-%Y %H:%M', '%d %b %Y %H:%M:%S', '%d %b %Y %H:%M', '%d %b %Y, %H:%M:%S', '%Y%m%dT%H%M', '%Y-%m-%d']) end
+        + case when b like '% 24:00' then interval 1 day else interval 0 day end as local from names where not digits),
+      zoned as (select row_id, local, case z when 'Z' then 0 when 'GMT' then 0 when 'CEST' then 120 when 'CET' then 60 when 'WEST' then 60 when 'WET' then 0 when 'EDT' then -240 when 'EST' then -300
+        else case when z <> '' then (case when z[1] = '-' then -1 else 1 end) * (cast(z[2:3] as int) * 60 + cast(right(z, 2) as int)) end end as off, timezone(tz, local) as u, tz from parsed where local is not null),
+      stamps as (select row_id, case when length(t) = 14 then null when length(t) = 10 then cast(t as bigint) * 1000000 when length(t) = 13 then cast(t as bigint) * 1000 when length(t) = 16 then cast(t as bigint) end as us from cut where digits),
+      spelled as (select row_id, timezone(tz, try_strptime(t, '%Y%m%d%H%M%S')) as u, tz, try_strptime(t, '%Y%m%d%H%M%S') as local from cut where digits and length(t) = 14)
+      select row_id, us as utc_us from stamps where us is not null
+      union all select row_id, epoch_us(case when timezone(tz, u - interval 1 hour) = local then u - interval 1 hour else u end) from spelled where u is not null
+      union all select row_id, case when off is not null then epoch_us(local) - cast(off as bigint) * 60000000 else epoch_us(case when timezone(tz, u - interval 1 hour) = local then u - interval 1 hour else u end) end from zoned""",
+    # The rule that the limits come down to on these tables: wide gaps in the outer tenth, long runs, impossible values.
+    "p3_found": f"""with {_USABLE},
+      fill as (select unnest([{', '.join(map(repr, FILLERS))}]) as f),
+      bad as (select reading_id from usable where v < 0 or isinf(v) or v in (select f from fill)),
+      pos as (select reading_id, meter_id, ln(v) as y from usable where v > 0 and reading_id not in (select reading_id from bad)),
+      ranked as (select *, row_number() over w as k, count(*) over (partition by meter_id) as n, y - lag(y) over w as gap from pos window w as (partition by meter_id order by y, reading_id)),
+      hi as (select meter_id, min(y) as hi from ranked where n >= 7 and gap >= ln(3) and k > n - greatest(1, floor(n * 0.1)) group by 1),
+      lo as (select meter_id, max(y) as lo from (select *, lead(y) over (partition by meter_id order by y, reading_id) - y as up from ranked) where n >= 7 and up >= ln(3) and k <= greatest(1, floor(n * 0.1)) group by 1),
+      firsts as (select meter_id, ts, arg_min(v, reading_id) as v from usable where reading_id not in (select reading_id from bad) group by 1, 2),
+      marks as (select *, case when v is distinct from lag(v) over (partition by meter_id order by ts) then 1 else 0 end as c from firsts),
+      runs as (select meter_id, g, any_value(v) as v, count(*) as n, min(ts) as a, max(ts) as b from (select *, sum(c) over (partition by meter_id order by ts) as g from marks) group by 1, 2),
+      long as (select * from runs where v > 0 and n >= 12 and meter_id in (select meter_id from runs where n < 12 group by 1 having count(*) >= 5))
+      select reading_id from bad union select reading_id from pos join hi using (meter_id) where y >= hi union select reading_id from pos join lo using (meter_id) where y <= lo
+      union select u.reading_id from usable u join long l on u.meter_id = l.meter_id and u.ts between l.a and l.b and u.v = l.v""",
 }

@@ -115,7 +115,7 @@ def decompose(points: DataFrame, trend: bool = False, period: int = 0, standardi
         x = pdf["value"].to_numpy(np.float64)
         columns = ["level", "trend", "seasonal", "residual"]
         if len(x) < 10 or x.std() == 0:
-            return pd.DataFrame({"series_id": [], "t": []} | {c: [] for c in columns})
+            return pdf.iloc[:0][["series_id", "t"]].assign(**{c: np.empty(0) for c in columns})
         parts = structural(x, trend, period)
         if standardise:
             r = parts["residual"]

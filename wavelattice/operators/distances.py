@@ -15,7 +15,7 @@ def _z(x: np.ndarray) -> np.ndarray:
 
 
 def correlation(x, y):
-    """1 - |r| (nan for a constant series)."""
+    """1 - |r| (nan for a constant series, which becomes null in a table)."""
     if x.std() == 0 or y.std() == 0:
         return np.nan
     return 1 - abs(float(np.corrcoef(x, y)[0, 1]))

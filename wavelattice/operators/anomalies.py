@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wavelattice.functions.stats import esd_limit
 from wavelattice.operators.readings import MICROS, sharded, usable_readings
+from wavelattice.session import cut_lineage
 
 #: Numbers that meters and loggers send in place of a measurement.
 FILLERS = (9999.0, 9999.9, 9999.99, 9999.999, 99999.0, 99999.9, 99999.99, 99999.999, 999999.0, 999999.9, 999999.99, 999999.999, 32767.0, 65535.0, 2147483647.0, 4294967295.0, 4294967.295)
@@ -19,7 +20,7 @@ _HOUR_US = 3600 * MICROS
 
 def _decompose(rows: DataFrame, min_rows: int, min_shards: int = 3) -> DataFrame:
     """Trend and season of ``y`` by medians: one row per (src, shard) with its trend ``t``,
-    the source's season ``s`` (array by hour of day), robust spread ``sd`` and count ``n_src``.
+    the source's season ``s`` (by hour of day), robust spread ``sd``, readings ``n_src`` and active ``days``.
 
     Medians are taken per (src, shard, hour of day); the trend of a shard is the median of its
     cells, the season of an hour the median over shards of cell minus trend (one sweep of
@@ -28,12 +29,12 @@ def _decompose(rows: DataFrame, min_rows: int, min_shards: int = 3) -> DataFrame
     ``min_rows`` readings takes the source's median as its trend, and a source of fewer than
     ``min_shards`` shards has no season: it would be fitted to the very readings in question.
     """
-    cells = rows.groupBy("src", "shard", "hour").agg(F.percentile("y", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count(F.lit(1)).alias("n"))
-    cells = cells.select("src", "shard", "hour", "n", F.get("q", F.lit(1)).alias("m"), F.when(F.col("n") >= 4, (F.get("q", F.lit(2)) - F.get("q", F.lit(0))) / 1.349).alias("w"))
-    shards = cells.groupBy("src", "shard").agg(F.percentile("m", F.lit(0.5)).alias("own"), F.sum("n").alias("rows"), F.collect_list(F.struct("hour", "m", "w", "n")).alias("cells"))
+    cells = rows.groupBy("src", "shard", "hour").agg(F.percentile("y", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count(F.lit(1)).alias("n"), F.collect_set("day").alias("days"))
+    cells = cells.select("src", "shard", "hour", "n", "days", F.get("q", F.lit(1)).alias("m"), F.when(F.col("n") >= 4, (F.get("q", F.lit(2)) - F.get("q", F.lit(0))) / 1.349).alias("w"))
+    shards = cells.groupBy("src", "shard").agg(F.percentile("m", F.lit(0.5)).alias("own"), F.sum("n").alias("rows"), F.collect_list(F.struct("hour", "m", "w", "n")).alias("cells"), F.size(F.array_distinct(F.flatten(F.collect_list("days")))).alias("days"))
     # From here on one row of at most 24 cells per shard; a source has as many as its life has shards.
     whole = Window.partitionBy("src")
-    shards = shards.withColumn("mid", F.percentile("own", F.lit(0.5), F.col("rows")).over(whole)).withColumn("t", F.when(F.col("rows") >= min_rows, F.col("own")).otherwise(F.col("mid")))
+    shards = shards.withColumn("mid", F.percentile("own", F.lit(0.5), F.col("rows")).over(whole)).withColumn("days", F.sum("days").over(whole)).withColumn("t", F.when(F.col("rows") >= min_rows, F.col("own")).otherwise(F.col("mid")))
     flat = shards.select("src", "shard", "t", F.inline("cells"))
     hours = flat.groupBy("src", "hour").agg(
         F.percentile(F.col("m") - F.col("t"), F.lit(0.5)).alias("s"),
@@ -52,7 +53,7 @@ def _decompose(rows: DataFrame, min_rows: int, min_shards: int = 3) -> DataFrame
     long = F.col("shards") >= min_shards
     spread = F.when(long, F.col("r")).otherwise((F.get("r0", F.lit(1)) - F.get("r0", F.lit(0))) / 1.349)
     season = season.join(flatly, "src").select("src", "n_src", F.when(long, F.col("s")).alias("s"), F.sqrt(F.col("w") * F.col("w") + spread * spread).alias("sd"))
-    return shards.select("src", "shard", "t").join(season, "src")
+    return shards.select("src", "shard", "t", "days").join(season, "src")
 
 
 def spike_limits(rows: DataFrame, parts: DataFrame, alpha: float, max_share: float, far: float, min_sd: float = 0.05) -> DataFrame:
@@ -68,7 +69,7 @@ def spike_limits(rows: DataFrame, parts: DataFrame, alpha: float, max_share: flo
     on more than half of the source's days, or on a fifth and once in 125 readings.
     """
     r = (F.col("y") - F.col("t") - F.coalesce(F.try_element_at("s", F.col("hour")), F.lit(0.0))) / F.greatest("sd", F.lit(min_sd))
-    scored = rows.join(parts, ["src", "shard"]).select("src", "y", "day", "n_src", r.alias("r"))
+    scored = rows.join(parts, ["src", "shard"]).select("src", "y", "day", "n_src", "days", r.alias("r"))
     wide = F.abs("r") > 2.0
     bins = scored.groupBy(
         "src",
@@ -76,7 +77,7 @@ def spike_limits(rows: DataFrame, parts: DataFrame, alpha: float, max_share: flo
         F.when(wide, F.floor(F.abs("r") * 20)).otherwise(0).cast("long").alias("rb"),
         F.when(wide, F.floor(F.col("y") * 50)).otherwise(0).cast("long").alias("yb"),
         F.when(wide, F.col("day")).alias("day"),
-    ).agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.max("n_src").alias("n_src"))
+    ).agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.max("n_src").alias("n_src"), F.max("days").alias("days"))
     down = Window.partitionBy("src").orderBy(F.desc("rb")).rangeBetween(Window.unboundedPreceding, 0)
     walked = bins.withColumn("i", F.sum("n").over(down)).withColumn("limit", esd_limit(F.col("n_src").cast("double"), F.col("i").cast("double"), alpha))
     beyond = (F.col("n_src") >= 7) & (F.col("side") != 0) & (F.col("i") <= F.greatest(F.floor(F.col("n_src") * max_share), F.lit(1))) & (F.col("rb") / 20.0 > F.col("limit"))
@@ -92,15 +93,14 @@ def spike_limits(rows: DataFrame, parts: DataFrame, alpha: float, max_share: flo
     high = F.when(F.col("out") & (F.col("side") > 0) & (F.col("y0") > F.col("top")) & (F.col("y0") - F.col("below") >= gap), F.col("y0"))
     deep = F.when(F.col("out") & (F.col("side") < 0) & (F.col("y1") < F.col("low")) & (F.col("above") - F.col("y1") >= gap), F.col("y1"))
     limits = rest.groupBy("src").agg(F.min(high).alias("hi"), F.max(deep).alias("lo"))
-    active = rows.select("src", "shard", "day").distinct().groupBy("src").agg(F.count_distinct("day").alias("days"))
     above, under = F.col("y0") >= F.col("hi"), F.col("y1") <= F.col("lo")
-    seen = rest.join(limits, "src").groupBy("src").agg(F.first("hi").alias("hi"), F.first("lo").alias("lo"), F.max("n_src").alias("n"), F.count_distinct(F.when(above, F.col("day"))).alias("dh"), F.count_distinct(F.when(under, F.col("day"))).alias("dl"))
+    seen = rest.join(limits, "src").groupBy("src").agg(F.first("hi").alias("hi"), F.first("lo").alias("lo"), F.max("n_src").alias("n"), F.max("days").alias("days"), F.count_distinct(F.when(above, F.col("day"))).alias("dh"), F.count_distinct(F.when(under, F.col("day"))).alias("dl"))
 
     def rare(d: str, limit: str) -> Column:
         recurs = (F.col(d) > 5) & ((F.col(d) > 0.5 * F.col("days")) | ((F.col(d) > 0.2 * F.col("days")) & (F.col(d) > F.col("n") / 125)))
         return F.when(~recurs, F.col(limit))
 
-    return seen.join(active, "src").select("src", rare("dh", "hi").alias("hi"), rare("dl", "lo").alias("lo"))
+    return seen.select("src", rare("dh", "hi").alias("hi"), rare("dl", "lo").alias("lo")).where("hi is not null or lo is not null")
 
 
 def stuck_runs(rows: DataFrame, min_run: int, expected: float) -> DataFrame:
@@ -157,6 +157,8 @@ def implausible_readings(
     min_run: int = 12,
     expected_chance_runs: float = 0.1,
     fillers: Sequence[float] = FILLERS,
+    broadcast_rows: int = 100_000,
+    salts: int = 32,
 ) -> DataFrame:
     """``reading_id, source, value, why`` of the implausible usable readings; ``why`` is an array.
 
@@ -164,7 +166,10 @@ def implausible_readings(
     the logarithm of positive values, so that sources of any size are judged alike.
     ``stuck``: see ``stuck_runs``.  Readings go to (source, time shard) once; trend, season,
     histogram and runs are all taken there, and only summaries cross to the whole source,
-    so a source of any size is spread over its shards.  Zeros are never spikes or stuck.
+    so a source of any size is spread over its shards.  What comes out are the limits of the sources
+    that have some, and the runs by source and shard; the readings are held against them in
+    a second scan, without an exchange where these are at most ``broadcast_rows`` rows, else by
+    joins on source and part of time.  Zeros are never spikes or stuck.
     Second deliveries are judged like first ones.  Sources of fewer than 7 positive
     readings have no spikes.  Null or NaN readings are not judged; empty input gives no rows.
     """
@@ -179,10 +184,17 @@ def implausible_readings(
     parts = _decompose(positive, min_rows=24)
     limits = spike_limits(positive, parts, alpha, max_share, far)
     stuck = stuck_runs(rows.where(~bad), min_run, expected_chance_runs)
-    spread = stuck.select("src", F.struct("from_us", "to_us", "val").alias("run"), F.explode(F.sequence(F.floor(F.col("from_us") / F.lit(shard_hours * _HOUR_US)), F.floor(F.col("to_us") / F.lit(shard_hours * _HOUR_US)))).alias("shard"))
-    spread = spread.groupBy("src", "shard").agg(F.collect_list("run").alias("runs"))
-    marks = parts.select("src", "shard").join(limits.where(F.col("hi").isNotNull() | F.col("lo").isNotNull()), "src").join(spread, ["src", "shard"], "full")
-    judged = rows.join(marks, ["src", "shard"], "left")
+    limits = cut_lineage(limits)
+    width = F.lit(shard_hours * _HOUR_US)
+    spread = stuck.select("src", F.struct("from_us", "to_us", "val").alias("run"), F.explode(F.sequence(F.floor(F.col("from_us") / width).cast("long"), F.floor(F.col("to_us") / width).cast("long"))).alias("shard"))
+    spread = cut_lineage(spread.groupBy("src", "shard").agg(F.collect_list("run").alias("runs")))
+    judged = base.select("src", "us", "val", F.col("x0").alias("id"), F.floor(F.col("us") / width).cast("long").alias("shard"))
+    if limits.count() <= broadcast_rows:
+        judged = judged.join(F.broadcast(limits), "src", "left")
+    else:  # by source and part, so that a source with many readings is spread
+        salted = limits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        judged = judged.withColumn("salt", F.pmod("shard", F.lit(salts)).cast("int")).join(salted, ["src", "salt"], "left")
+    judged = judged.join(F.broadcast(spread) if spread.count() <= broadcast_rows else spread, ["src", "shard"], "left")
     y = F.when(~bad & (F.col("val") > 0), F.log("val"))
     spike = F.coalesce((y >= F.col("hi")) | (y <= F.col("lo")), F.lit(False))
     is_stuck = F.coalesce(F.exists("runs", lambda q: (F.col("us") >= q.from_us) & (F.col("us") <= q.to_us) & (F.col("val") == q.val)), F.lit(False))

@@ -92,19 +92,15 @@ def test_distances(points):
         distances.epsilon_network(d)
 
 
-def test_approximate_neighbours(spark):
+def test_nearest_vectors(spark):
     rng = np.random.default_rng(1)
-    v = rng.normal(size=(120, 4))
+    v = np.vstack([rng.normal(size=(120, 4)), np.zeros((5, 4))])  # with ties
     df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(v)], "id long, vec array<double>")
-    got = {}
-    for r in distances.approximate_knn(df, 5, bucket=2.0).collect():
-        got.setdefault(r.i, set()).add(r.j)
-    hits = 0
-    for i in range(120):
-        near = set(np.argsort(np.linalg.norm(v - v[i], axis=1), kind="stable")[1:6].tolist())
-        assert len(got[i]) == 5
-        hits += len(near & got[i])
-    assert hits / 600 >= 0.9
+    want = {(i, j) for i in range(125) for j in sorted((j for j in range(125) if j != i), key=lambda j: (np.linalg.norm(v[i] - v[j]), j))[:5]}
+    for block in (2_048, 20):
+        assert {(r.i, r.j) for r in distances.nearest_vectors(df, 5, block).collect()} == want
+    assert distances.nearest_vectors(df.limit(1), 5).count() == 0
+    assert all(r.dist < 0.5 for r in distances.nearest_within(df, 5, 0.5).collect())
 
 
 def test_events(spark, points):

@@ -263,26 +263,43 @@ def density_network(d: DataFrame, density: float) -> DataFrame:
     return epsilon_network(d, percentile=100 * density, closed=True)
 
 
-def approximate_knn(vectors: DataFrame, k: int, bucket: float = 2.0, tables: int = 4, seed: int = 42) -> DataFrame:
-    """``i, j, dist``: near neighbours of ``id, vec array<double>`` by random-projection hashing.
+def nearest_vectors(vectors: DataFrame, k: int, block: int = 2_048) -> DataFrame:
+    """``i, j, dist``: the k nearest others of each vector ``id, vec array<double>`` (Euclidean, ties by the smaller id).
 
-    Pairs meet in hash buckets only; a vector whose buckets hold fewer than k others is looked up against all,
-    so that every vector gets its k rows.
+    Exact: blocks of vectors meet in pairs, a pair's distances are one matrix product, and only the k best
+    of each row leave the task; a second step takes the best over blocks.  This stands in for a
+    neighbour-descent index, whose result it bounds from above in every case.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    data = vectors.select("id", "vec", array_to_vector("vec").alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(data)
-    hashed = model.transform(data).select("id", "vec", F.posexplode("hashes").alias("table", "h")).select("id", "vec", "table", F.col("h").cast("string").alias("h"))
-    from wavelattice.operators.recurrence import distance
+    n = vectors.count()
+    blocks = max(1, -(-n // block))
+    dealt = vectors.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
+    others = F.sequence(F.lit(0), F.lit(blocks - 1))
+    left = dealt.select("id", "vec", F.lit(0).alias("side"), F.col("b").alias("p"), F.explode(others).alias("q"))
+    right = dealt.select("id", "vec", F.lit(1).alias("side"), F.explode(others).alias("p"), F.col("b").alias("q"))
 
-    right = hashed.select(F.col("id").alias("j"), F.col("vec").alias("vj"), "table", "h")
-    pairs = hashed.join(right, ["table", "h"]).where("id <> j").select(F.col("id").alias("i"), "j", "vec", "vj").dropDuplicates(["i", "j"])
-    ranked = pairs.withColumn("dist", distance(F.col("vec"), F.col("vj"))).select("i", "j", "dist")
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        own, far = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        empty = pd.DataFrame({"i": np.empty(0, np.int64), "j": np.empty(0, np.int64), "dist": np.empty(0)})
+        if not len(own) or not len(far):
+            return empty
+        a, b = np.stack(own["vec"].to_numpy()), np.stack(far["vec"].to_numpy())
+        ia, ib = own["id"].to_numpy(np.int64), far["id"].to_numpy(np.int64)
+        square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
+        square[ia[:, None] == ib[None, :]] = np.inf
+        m = min(k + 16, square.shape[1])  # a few more than k, for what rounding of the product may swap
+        near = np.argpartition(square, m - 1, axis=1)[:, :m] if m < square.shape[1] else np.tile(np.arange(m), (len(a), 1))
+        dist = np.sqrt(((a[:, None, :] - b[near]) ** 2).sum(2))
+        dist[np.isinf(np.take_along_axis(square, near, 1))] = np.inf
+        order = np.lexsort((ib[near], dist), axis=1)[:, :k]
+        out = pd.DataFrame({"i": np.repeat(ia, order.shape[1]), "j": ib[np.take_along_axis(near, order, 1)].ravel(), "dist": np.take_along_axis(dist, order, 1).ravel()})
+        return out[np.isfinite(out["dist"])]
+
+    found = left.unionByName(right).groupBy("p", "q").applyInPandas(work, "i long, j long, dist double")
     rank = F.row_number().over(Window.partitionBy("i").orderBy("dist", "j"))
-    found = ranked.withColumn("r", rank).where(F.col("r") <= k).drop("r")
-    short = vectors.select(F.col("id").alias("i"), F.col("vec").alias("vi")).join(found.groupBy("i").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k), "i", "left_anti")
-    rest = short.join(vectors.select(F.col("id").alias("j"), F.col("vec").alias("vj")), F.col("i") != F.col("j")).withColumn("dist", distance(F.col("vi"), F.col("vj"))).select("i", "j", "dist")
-    exact = rest.withColumn("r", rank).where(F.col("r") <= k).drop("r")
-    return found.join(short.select("i"), "i", "left_anti").unionByName(exact)
+    return found.withColumn("r", rank).where(F.col("r") <= k).drop("r")
+
+
+def nearest_within(vectors: DataFrame, k: int, epsilon: float, block: int = 2_048) -> DataFrame:
+    """``i, j, dist``: those of the k nearest that are nearer than epsilon."""
+    return nearest_vectors(vectors, k, block).where(F.col("dist") < epsilon)

@@ -65,8 +65,12 @@ def _vectors(spark, d):
     return read_table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
 
 
-def n4_approximate_knn(spark, d):
-    return rounded(dist.approximate_knn(_vectors(spark, d), 5))
+def n4_nearest_vectors(spark, d):
+    return rounded(dist.nearest_vectors(_vectors(spark, d), 5), 6)
+
+
+def n5_nearest_within(spark, d):
+    return rounded(dist.nearest_within(_vectors(spark, d), 10, 1.2), 6)
 
 
 def sp1_radius_weights(spark, d):
@@ -255,7 +259,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         s21_partial_rows, d19_percentile, d20_minmax, n1_knn_network, n1_knn_mutual, n11_knn_directed, n2_epsilon_network, n6_epsilon_closed, n3_weighted_network,
-        n10_density_network, n4_approximate_knn, sp1_radius_weights, sp2_knn_weights, sp3_moran, x1_joint_recurrence, x2_cross_hvg, x2_cross_nvg, x4_coupling,
+        n10_density_network, n4_nearest_vectors, n5_nearest_within, sp1_radius_weights, sp2_knn_weights, sp3_moran, x1_joint_recurrence, x2_cross_hvg, x2_cross_nvg, x4_coupling,
         x5_compare_networks, a18_features, a16_compare_features, x6_cluster_series, a14_raw_stats, e1_threshold_events, e1_peak_events, e6_event_sync, e3_event_sync_greedy,
         q2_permutation_pvalues, q5_correlation_significance, q6_ccf_significance, q7_false_discovery, q8_surrogates, q10_metric_significance, q12_zscores, q13_link_significance,
         q14_motif_zscores, q16_partial_correlation, z3_degree_ccdf, z4_method_comparison, z5_window_features,
@@ -317,6 +321,10 @@ ORACLES = {
     "n6_epsilon_closed": f"{_C} select i, j, {r('dist')} as dist from dd where dist <= 0.9",
     "n3_weighted_network": f"{_C} select i, j, {r('dist')} as dist, {r('1.0 / (1.0 + dist)')} as weight from dd where dist > 0 and dist <= 0.95",
     "n10_density_network": f"{_C} select i, j, {r('dist')} as dist from dd where dist <= (select quantile_cont(dist, 0.3) from dd)",
+    "n4_nearest_vectors": f"""select p.vec_id as i, q.vec_id as j, {r('list_distance(cast(p.embedding as double[]), cast(q.embedding as double[]))', 6)} as dist from embeddings p join embeddings q on p.vec_id <> q.vec_id
+      qualify row_number() over (partition by p.vec_id order by list_distance(cast(p.embedding as double[]), cast(q.embedding as double[])), q.vec_id) <= 5""",
+    "n5_nearest_within": f"""select i, j, {r('d', 6)} as dist from (select p.vec_id as i, q.vec_id as j, list_distance(cast(p.embedding as double[]), cast(q.embedding as double[])) as d from embeddings p join embeddings q on p.vec_id <> q.vec_id
+      qualify row_number() over (partition by p.vec_id order by list_distance(cast(p.embedding as double[]), cast(q.embedding as double[])), q.vec_id) <= 10) where d < 1.2""",
     "sp1_radius_weights": f"with {_VEC}, {_LINKS} select i, j, 1.0::double as weight from ww",
     "sp2_knn_weights": f"""with {_VEC}, k as (select p.id as i, q.id as j from vv p join vv q on p.id <> q.id qualify row_number() over (partition by p.id order by sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)), q.id) <= 3)
       select i, j, 1.0::double as weight from k union select j, i, 1.0::double from k""",

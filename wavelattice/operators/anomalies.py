@@ -32,7 +32,8 @@ def _decompose(rows: DataFrame, min_rows: int, min_shards: int = 3) -> DataFrame
     cells = rows.groupBy("src", "shard", "hour").agg(F.percentile("y", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count(F.lit(1)).alias("n"), F.collect_set("day").alias("days"))
     cells = cells.select("src", "shard", "hour", "n", "days", F.get("q", F.lit(1)).alias("m"), F.when(F.col("n") >= 4, (F.get("q", F.lit(2)) - F.get("q", F.lit(0))) / 1.349).alias("w"))
     shards = cells.groupBy("src", "shard").agg(F.percentile("m", F.lit(0.5)).alias("own"), F.sum("n").alias("rows"), F.collect_list(F.struct("hour", "m", "w", "n")).alias("cells"), F.size(F.array_distinct(F.flatten(F.collect_list("days")))).alias("days"))
-    # From here on one row of at most 24 cells per shard; a source has as many as its life has shards.
+    # From here on one row of at most 24 cells per shard, kept, as four branches use it; a source has as many as its life has shards.
+    shards = cut_lineage(shards)
     whole = Window.partitionBy("src")
     shards = shards.withColumn("mid", F.percentile("own", F.lit(0.5), F.col("rows")).over(whole)).withColumn("days", F.sum("days").over(whole)).withColumn("t", F.when(F.col("rows") >= min_rows, F.col("own")).otherwise(F.col("mid")))
     flat = shards.select("src", "shard", "t", F.inline("cells"))
@@ -119,12 +120,17 @@ def stuck_runs(rows: DataFrame, min_run: int, expected: float) -> DataFrame:
     runs = runs.groupBy("src", "shard", "start").agg(F.first("val").alias("val"), F.max("us").alias("end"), F.count(F.lit(1)).alias("n"))
     shard = Window.partitionBy("src", "shard")
     runs = runs.withColumn("edge", (F.col("start") == F.min("start").over(shard)) | (F.col("start") == F.max("start").over(shard)))
-    habits = runs.groupBy("src").agg(
-        F.sum("n").alias("n_src"),
-        F.sum(F.when(F.col("n") < min_run, F.col("n") - 1).otherwise(0)).alias("repeats"),
-        F.sum(F.when(F.col("n") < min_run, 1).otherwise(0)).alias("short_runs"),
+    # One row per shard: how often values repeat, and its first, last and long runs.
+    summaries = cut_lineage(
+        runs.groupBy("src", "shard").agg(
+            F.sum("n").alias("n_src"),
+            F.sum(F.when(F.col("n") < min_run, F.col("n") - 1).otherwise(0)).alias("repeats"),
+            F.sum(F.when(F.col("n") < min_run, 1).otherwise(0)).alias("short_runs"),
+            F.collect_list(F.when(F.col("edge") | (F.col("n") >= min_run), F.struct("start", "end", "val", "n"))).alias("kept"),
+        )
     )
-    kept = runs.where(F.col("edge") | (F.col("n") >= min_run)).select("src", "shard", "start", "end", "val", "n")
+    habits = summaries.groupBy("src").agg(F.sum("n_src").alias("n_src"), F.sum("repeats").alias("repeats"), F.sum("short_runs").alias("short_runs"))
+    kept = summaries.select("src", "shard", F.inline("kept"))
     # Joined over borders: consecutive kept runs of equal value whose shards' borders meet.
     order = Window.partitionBy("src").orderBy("start")
     last_of = F.max("start").over(Window.partitionBy("src", "shard")) == F.col("start")

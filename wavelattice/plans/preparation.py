@@ -51,7 +51,7 @@ def _feed_rows(spark: SparkSession, d: str, path: str = "data_morocco") -> tuple
     rows = read_table(spark, d, path)
     config = read_table(spark, d, "dataset_config").where((F.col("path") == path) & F.col("name").isNotNull())
     config = config.select(F.col("name").alias("dataset"), F.col("time_col").alias("__time_col"), F.coalesce("tz", F.lit("UTC")).alias("__tz"))
-    joined = rows.join(F.broadcast(config), "dataset")  # dataset_config has one row per dataset by hand: a fixed, small table
+    joined = rows.join(config, "dataset")  # a small file, which Spark itself broadcasts by its size
     raw = F.coalesce(*[F.when(F.col("__time_col") == c, F.col(c)) for c, kind in rows.dtypes if kind == "string"])
     return joined, raw
 

@@ -133,7 +133,7 @@ def quantiles(digests: DataFrame, keys: Sequence[str], qs: Sequence[float]) -> D
     return placed.select(*keys, "n", "q", F.when(F.col("b").isNull(), F.col("a.v")).otherwise(F.when(F.col("a.v") == F.col("b.v"), F.col("a.v")).otherwise(F.col("a.v") + (F.col("b.v") - F.col("a.v")) * share)).alias("estimate"))
 
 
-def certify(df: DataFrame, keys: Sequence[str], value: str, estimates: DataFrame, broadcast_rows: int = 200_000, salts: int = 32) -> DataFrame:
+def certify(df: DataFrame, keys: Sequence[str], value: str, estimates: DataFrame, broadcast_rows: int = 100_000, salts: int = 32) -> DataFrame:
     """Second counting pass: ``keys, n, q, estimate, below, upto, rank_error`` for every estimate.
 
     ``below`` and ``upto`` count the values smaller than, and not larger than, the estimate; the

@@ -257,14 +257,14 @@ def pack_documents(
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Places in the plan by binary search over (length, first), one code for both.
-        codes = {c: s["length"] * (1 << 40) + s["first"] for c, s in packed.items()}
+        codes = {c: s["length"] * (1 << 44) + s["first"] for c, s in packed.items()}
         for pdf in batches:
             out = np.empty(len(pdf), dtype=np.int64)
             cap, length, r = (pdf[n].to_numpy(np.int64) for n in ("capacity_id", "n_tokens", "rank"))
             for c in np.unique(cap):
                 at = np.flatnonzero(cap == c)
                 s = packed[int(c)]
-                i = np.searchsorted(codes[int(c)], length[at] * (1 << 40) + r[at], side="right") - 1
+                i = np.searchsorted(codes[int(c)], length[at] * (1 << 44) + r[at], side="right") - 1
                 out[at] = s["base"][i] + (r[at] - s["first"][i]) // s["mult"][i]
             yield pdf.assign(container_id=out)[["capacity_id", "doc_id", "piece", "n_tokens", "container_id"]]
 

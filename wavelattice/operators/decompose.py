@@ -46,19 +46,26 @@ def _filter(x: np.ndarray, t: np.ndarray, z: np.ndarray, noisy: list[int], ratio
     total = logs = 0.0
     used = 0
     preds, covs, gains = [], [], []
+    steady = False
     for i, v in enumerate(x):
         preds.append(a)
         covs.append(p)
-        f = float(z @ p @ z) + 1.0
+        if not steady:
+            f = float(z @ p @ z) + 1.0
+            g = p @ z / f
+            step = t @ g
         e = v - float(z @ a)
-        g = p @ z / f
         gains.append((e, f, g))
         if i >= k:
             total += e * e / f
             logs += np.log(f)
             used += 1
-        a = t @ (a + g * e)
-        p = t @ (p - np.outer(g, z @ p)) @ t.T + q
+        a = t @ a + step * e
+        if not steady:
+            new = t @ (p - np.outer(g, z @ p)) @ t.T + q
+            # the covariance settles after a while; from then on its gain is used as it is
+            steady = i > 2 * k and np.abs(new - p).max() <= 1e-9 * np.abs(new).max()
+            p = new
     scale = total / max(1, used)
     return -0.5 * (used * np.log(max(scale, 1e-300)) + logs), scale, preds, covs, gains
 

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavelattice.operators.grouped import stream_groups
+
 
 def _system(level: bool, trend: bool, period: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """Transition, observation and the places that receive noise."""
@@ -37,99 +39,107 @@ def _system(level: bool, trend: bool, period: int) -> tuple[np.ndarray, np.ndarr
     return t, np.array(seen), noisy
 
 
-def _filter(x: np.ndarray, t: np.ndarray, z: np.ndarray, noisy: list[int], ratios: np.ndarray) -> tuple[float, float, list, list, list]:
-    """Kalman filter with observation variance 1: concentrated likelihood, its scale, and the passes for smoothing."""
+def _filter(x: np.ndarray, live: np.ndarray, t: np.ndarray, z: np.ndarray, noisy: list[int], ratios: np.ndarray, keep: bool = False):
+    """Kalman filter of many series at once, observation variance 1: concentrated likelihoods, scales, and the passes for smoothing.
+
+    ``x`` has a row per series, padded at its end; ``live`` tells the real values.
+    """
+    s, n = x.shape
     k = len(z)
-    q = np.zeros((k, k))
-    q[noisy, noisy] = ratios
-    a, p = np.zeros(k), np.eye(k) * 1e6
-    total = logs = 0.0
-    used = 0
-    preds, covs, gains = [], [], []
-    steady = False
-    for i, v in enumerate(x):
-        preds.append(a)
-        covs.append(p)
-        if not steady:
-            f = float(z @ p @ z) + 1.0
-            g = p @ z / f
-            step = t @ g
-        e = v - float(z @ a)
-        gains.append((e, f, g))
+    q = np.zeros((s, k, k))
+    q[:, noisy, noisy] = ratios
+    a, p = np.zeros((s, k)), np.tile(np.eye(k) * 1e6, (s, 1, 1))
+    total, logs, used = np.zeros(s), np.zeros(s), np.zeros(s)
+    passes = []
+    for i in range(n):
+        pz = p @ z
+        f = pz @ z + 1.0
+        e = x[:, i] - a @ z
+        g = pz / f[:, None]
+        if keep:
+            passes.append((a, p, e, f, g))
         if i >= k:
-            total += e * e / f
-            logs += np.log(f)
-            used += 1
-        a = t @ a + step * e
-        if not steady:
-            new = t @ (p - np.outer(g, z @ p)) @ t.T + q
-            # the covariance settles after a while; from then on its gain is used as it is
-            steady = i > 2 * k and np.abs(new - p).max() <= 1e-9 * np.abs(new).max()
-            p = new
-    scale = total / max(1, used)
-    return -0.5 * (used * np.log(max(scale, 1e-300)) + logs), scale, preds, covs, gains
-
-
-def structural(x: np.ndarray, trend: bool = False, period: int = 0, rounds: int = 2) -> dict[str, np.ndarray | float]:
-    """Smoothed level, trend, seasonal and residual of a series by maximum likelihood.
-
-    Variances relative to the observation's are found by golden sections over their logarithms, one after another.
+            m = live[:, i]
+            total += np.where(m, e * e / f, 0.0)
+            logs += np.where(m, np.log(f), 0.0)
+            used += m
+        a = (a + g * e[:, None]) @ t.T
+        p = t @ (p - g[:, :, None] * pz[:, None, :]) @ t.T + q
+    scale = total / np.maximum(1, used)
+    return -0.5 * (used * np.log(np.maximum(scale, 1e-300)) + logs), scale, passes
+
+
+def structural(x: np.ndarray, live: np.ndarray, trend: bool = False, period: int = 0, rounds: int = 2, steps: int = 14) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Smoothed level, trend and seasonal part of many series (rows of ``x``) by maximum likelihood.
+
+    Variances relative to the observation's are found by golden sections over their logarithms, one after
+    another, for all series side by side.
     """
     t, z, noisy = _system(True, trend, period)
-    ratios = np.full(len(noisy), 0.1)
+    s, n = x.shape
+    ratios = np.full((s, len(noisy)), 0.1)
     golden = (5**0.5 - 1) / 2
     for _ in range(rounds):
-        for j in range(len(ratios)):
+        for j in range(len(noisy)):
 
-            def score(v: float, j: int = j) -> float:
+            def score(v: np.ndarray, j: int = j) -> np.ndarray:
                 trial = ratios.copy()
-                trial[j] = np.exp(v)
-                return _filter(x, t, z, noisy, trial)[0]
+                trial[:, j] = np.exp(v)
+                return _filter(x, live, t, z, noisy, trial)[0]
 
-            lo, hi = -14.0, 6.0
+            lo, hi = np.full(s, -14.0), np.full(s, 6.0)
             c, d = hi - golden * (hi - lo), lo + golden * (hi - lo)
             fc, fd = score(c), score(d)
-            for _ in range(14):
-                if fc > fd:
-                    hi, d, fd = d, c, fc
-                    c = hi - golden * (hi - lo)
-                    fc = score(c)
-                else:
-                    lo, c, fc = c, d, fd
-                    d = lo + golden * (hi - lo)
-                    fd = score(d)
-            ratios[j] = np.exp((lo + hi) / 2)
-    _, scale, preds, covs, gains = _filter(x, t, z, noisy, ratios)
-    n, k = len(x), len(z)
-    states = np.zeros((n, k))
-    back = np.zeros(k)
+            for _ in range(steps):
+                left = fc > fd
+                lo, hi = np.where(left, lo, c), np.where(left, d, hi)
+                new = np.where(left, hi - golden * (hi - lo), lo + golden * (hi - lo))
+                fn = score(new)
+                c, d, fc, fd = np.where(left, new, d), np.where(left, c, new), np.where(left, fn, fd), np.where(left, fc, fn)
+            ratios[:, j] = np.exp((lo + hi) / 2)
+    passes = _filter(x, live, t, z, noisy, ratios, keep=True)[2]
+    states = np.zeros((n, s, len(z)))
+    back = np.zeros((s, len(z)))
     for i in range(n - 1, -1, -1):
-        e, f, g = gains[i]
-        back = z * (e / f) + (t @ (np.eye(k) - np.outer(g, z))).T @ back
-        states[i] = preds[i] + covs[i] @ back
-    level = states[:, 0]
-    slope = states[:, 1] if trend else np.zeros(n)
-    season = states[:, 2 if trend else 1] if period > 1 else np.zeros(n)
-    return {"level": level, "trend": slope, "seasonal": season, "residual": x - level - season, "error_variance": scale}
+        a, p, e, f, g = passes[i]
+        tb = back @ t
+        back = np.where(live[:, i][:, None], z * (e / f - (g * tb).sum(1))[:, None] + tb, 0.0)
+        states[i] = a + np.einsum("sij,sj->si", p, back)
+    level = states[:, :, 0].T
+    slope = states[:, :, 1].T if trend else np.zeros((s, n))
+    season = states[:, :, 2 if trend else 1].T if period > 1 else np.zeros((s, n))
+    return level, slope, season
 
 
 def decompose(points: DataFrame, trend: bool = False, period: int = 0, standardise: bool = False) -> DataFrame:
-    """``series_id, t, level, trend, seasonal, residual`` of every series of at least 10 points that varies; others have no rows."""
+    """``series_id, t, level, trend, seasonal, residual`` of every series of at least 10 points that varies; others have no rows.
+
+    The series that an Arrow batch completes are filtered side by side.
+    """
     kind = points.schema["series_id"].dataType.simpleString()
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        x = pdf["value"].to_numpy(np.float64)
-        columns = ["level", "trend", "seasonal", "residual"]
-        if len(x) < 10 or x.std() == 0:
-            return pdf.iloc[:0][["series_id", "t"]].assign(**{c: np.empty(0) for c in columns})
-        parts = structural(x, trend, period)
-        if standardise:
-            r = parts["residual"]
-            parts["residual"] = (r - r.mean()) / (r.std() or 1.0)
-        return pd.DataFrame({"series_id": pdf["series_id"], "t": pdf["t"]} | {c: parts[c] for c in columns})
-
-    return points.select("series_id", "t", "value").groupBy("series_id").applyInPandas(fit, f"series_id {kind}, t long, level double, trend double, seasonal double, residual double")
+    def fit(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        v = rows["value"].to_numpy(np.float64)
+        ends = np.r_[starts[1:], len(v)]
+        spans = [(lo, hi) for lo, hi in zip(starts, ends) if hi - lo >= 10 and v[lo:hi].std() > 0]
+        at = np.concatenate([np.arange(lo, hi) for lo, hi in spans]) if spans else np.empty(0, dtype=np.int64)
+        parts = {c: np.empty(0) for c in ("level", "trend", "seasonal", "residual")}
+        if spans:
+            n = max(hi - lo for lo, hi in spans)
+            live = np.arange(n)[None, :] < np.array([hi - lo for lo, hi in spans])[:, None]
+            x = np.zeros(live.shape)
+            x[live] = v[at]
+            level, slope, season = structural(x, live, trend, period)
+            rest = x - level - season
+            if standardise:
+                size = live.sum(1, keepdims=True)
+                mean = np.where(live, rest, 0).sum(1, keepdims=True) / size
+                sd = np.sqrt((np.where(live, rest - mean, 0) ** 2).sum(1, keepdims=True) / size)
+                rest = (rest - mean) / np.where(sd > 0, sd, 1.0)
+            parts = {"level": level[live], "trend": slope[live], "seasonal": season[live], "residual": rest[live]}
+        return pd.DataFrame({"series_id": rows["series_id"].to_numpy()[at], "t": rows["t"].to_numpy()[at]} | parts)
+
+    return stream_groups(points.select("series_id", "t", "value"), ["series_id"], "t", fit, f"series_id {kind}, t long, level double, trend double, seasonal double, residual double")
 
 
 def structural_stats(parts: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ FILLERS = (9999.0, 9999.9, 9999.99, 9999.999, 99999.0, 99999.9, 99999.99, 99999.
 _HOUR_US = 3600 * MICROS
 
 
-def _decompose(rows: DataFrame, min_rows: int, min_shards: int = 3) -> DataFrame:
+def _decompose(rows: DataFrame, min_rows: int, min_shards: int = 3, min_cells: int = 4) -> DataFrame:
     """Trend and season of ``y`` by medians: one row per (src, shard) with its trend ``t``,
     the source's season ``s`` (by hour of day), robust spread ``sd``, readings ``n_src`` and active ``days``.
 
@@ -26,8 +26,9 @@ def _decompose(rows: DataFrame, min_rows: int, min_shards: int = 3) -> DataFrame
     cells, the season of an hour the median over shards of cell minus trend (one sweep of
     median polish).  The spread joins the spread inside cells (interquartile) and the
     remainder of the cell medians (median absolute deviation).  A shard of fewer than
-    ``min_rows`` readings takes the source's median as its trend, and a source of fewer than
-    ``min_shards`` shards has no season: it would be fitted to the very readings in question.
+    ``min_rows`` readings takes the source's median as its trend, and an hour met in
+    fewer than ``min_cells`` shards, or a source of fewer than ``min_shards`` shards or with too few cells
+    an hour, has no season: it would be fitted to the very readings in question.
     """
     cells = rows.groupBy("src", "shard", "hour").agg(F.percentile("y", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count(F.lit(1)).alias("n"), F.collect_set("day").alias("days"))
     cells = cells.select("src", "shard", "hour", "n", "days", F.get("q", F.lit(1)).alias("m"), F.when(F.col("n") >= 4, (F.get("q", F.lit(2)) - F.get("q", F.lit(0))) / 1.349).alias("w"))
@@ -42,16 +43,18 @@ def _decompose(rows: DataFrame, min_rows: int, min_shards: int = 3) -> DataFrame
         F.percentile(F.coalesce("w", F.lit(0.0)), F.lit(0.5), F.col("n")).alias("w"),
         F.percentile(F.col("m") - F.col("t"), F.array(F.lit(0.25), F.lit(0.75))).alias("r"),
         F.sum("n").alias("n"),
+        F.count(F.lit(1)).alias("cells"),
     )
     flatly = flat.groupBy("src").agg(F.count_distinct("shard").alias("shards"), F.percentile(F.col("m") - F.col("t"), F.array(F.lit(0.25), F.lit(0.75))).alias("r0"))
     remainder = (F.get("r", F.lit(1)) - F.get("r", F.lit(0))) / 1.349
     season = hours.groupBy("src").agg(
-        F.map_from_entries(F.collect_list(F.struct("hour", "s"))).alias("s"),
+        F.map_from_entries(F.collect_list(F.when(F.col("cells") >= min_cells, F.struct("hour", "s")))).alias("s"),
+        F.avg("cells").alias("cells"),
         F.percentile("w", F.lit(0.5), F.col("n")).alias("w"),
         F.percentile(remainder, F.lit(0.5), F.col("n")).alias("r"),
         F.sum("n").alias("n_src"),
     )
-    long = F.col("shards") >= min_shards
+    long = (F.col("shards") >= min_shards) & (F.col("cells") >= min_cells)
     spread = F.when(long, F.col("r")).otherwise((F.get("r0", F.lit(1)) - F.get("r0", F.lit(0))) / 1.349)
     season = season.join(flatly, "src").select("src", "n_src", F.when(long, F.col("s")).alias("s"), F.sqrt(F.col("w") * F.col("w") + spread * spread).alias("sd"))
     return shards.select("src", "shard", "t", "days").join(season, "src")

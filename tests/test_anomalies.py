@@ -54,5 +54,22 @@ def test_second_deliveries_and_shards(spark):
     assert set(found(twice, shard_hours=24)) == set(found(twice, shard_hours=100_000)) == set(found(twice, broadcast_rows=-1))
 
 
+def test_spikes_of_a_dense_meter(spark):
+    """Scattered spikes on every day are spikes at any density; peaks at one hour of every day are normal."""
+    rng = random.Random(7)
+    a_day, days = 3000, 12
+    start, step = dt.datetime(2020, 1, 1), dt.timedelta(days=1) / a_day
+    values = [rng.uniform(1, 2) for _ in range(a_day * days)]
+    spiky, daily = values[:], values[:]
+    spikes = {a_day * d + k for d in range(days) for k in rng.sample(range(a_day), 4)}
+    for k in spikes:
+        spiky[k] = rng.uniform(50, 90)
+    for d in range(days):
+        for k in range(2260, 2270):  # about 18:05
+            daily[a_day * d + k] = rng.uniform(15, 25)
+    rows = [(i + len(values) * j, m, start + step * i, v, 1, 1.0) for j, (m, vs) in enumerate({"spiky": spiky, "daily": daily}.items()) for i, v in enumerate(vs)]
+    assert set(found(spark.createDataFrame(rows, SCHEMA))) == spikes
+
+
 def test_empty(spark):
     assert found(spark.createDataFrame([], SCHEMA)) == {}

@@ -70,13 +70,17 @@ def spike_limits(rows: DataFrame, parts: DataFrame, alpha: float, max_share: flo
     its limit ends the outliers, at most ``max_share`` of the readings.  Of these, only
     values parted by a factor ``far`` from all that the source shows otherwise are spikes.
     Values beyond such a gap are yet normal where they recur: on more than five days and either
-    on more than half of the source's days, or on a fifth and once in 125 readings.
+    on a fifth of the source's days and once in 125 readings, or on more than half of its days
+    and at a regular hour: one that has them on more than three times as many days, beyond
+    chance, as it would if they were scattered over the readings.  Scattered values thus
+    do not recur, however many readings a day there are.
     """
     r = (F.col("y") - F.col("t") - F.coalesce(F.try_element_at("s", F.col("hour")), F.lit(0.0))) / F.greatest("sd", F.lit(min_sd))
-    scored = rows.join(parts, ["src", "shard"]).select("src", "y", "day", "n_src", "days", r.alias("r"))
+    scored = rows.join(parts, ["src", "shard"]).select("src", "y", "hour", "day", "n_src", "days", r.alias("r"))
     wide = F.abs("r") > 2.0
     bins = scored.groupBy(
         "src",
+        "hour",
         F.when(wide, F.signum("r")).otherwise(0).cast("int").alias("side"),
         F.when(wide, F.floor(F.abs("r") * 20)).otherwise(0).cast("long").alias("rb"),
         F.when(wide, F.floor(F.col("y") * 50)).otherwise(0).cast("long").alias("yb"),
@@ -96,15 +100,32 @@ def spike_limits(rows: DataFrame, parts: DataFrame, alpha: float, max_share: flo
     gap = math.log(far)
     high = F.when(F.col("out") & (F.col("side") > 0) & (F.col("y0") > F.col("top")) & (F.col("y0") - F.col("below") >= gap), F.col("y0"))
     deep = F.when(F.col("out") & (F.col("side") < 0) & (F.col("y1") < F.col("low")) & (F.col("above") - F.col("y1") >= gap), F.col("y1"))
-    limits = rest.groupBy("src").agg(F.min(high).alias("hi"), F.max(deep).alias("lo"))
-    above, under = F.col("y0") >= F.col("hi"), F.col("y1") <= F.col("lo")
-    seen = rest.join(limits, "src").groupBy("src").agg(F.first("hi").alias("hi"), F.first("lo").alias("lo"), F.max("n_src").alias("n"), F.max("days").alias("days"), F.count_distinct(F.when(above, F.col("day"))).alias("dh"), F.count_distinct(F.when(under, F.col("day"))).alias("dl"))
+    limits = rest.groupBy("src").agg(F.array_compact(F.array(F.min(high))).alias("highs"), F.array_compact(F.array(F.max(deep))).alias("deeps"))
+    # How often, on which days and at which hours values lie beyond each limit.
+    passed = F.concat(
+        F.transform(F.filter("highs", lambda v: F.col("y0") >= v), lambda v: F.struct(F.lit(1).alias("way"), v.alias("at"))),
+        F.transform(F.filter("deeps", lambda v: F.col("y1") <= v), lambda v: F.struct(F.lit(-1).alias("way"), v.alias("at"))),
+    )
+    far_out = rest.where("out").join(limits.where((F.size("highs") > 0) | (F.size("deeps") > 0)), "src").select("src", "hour", "day", "n", "n_src", "days", F.inline(passed))
+    hourly = far_out.groupBy("src", "way", "at", "hour").agg(F.sum("n").alias("n"), F.collect_set("day").alias("on"), F.max("n_src").alias("n_src"), F.max("days").alias("days"))
+    hourly = hourly.join(bins.groupBy("src", "hour").agg(F.sum("n").alias("n_hour")), ["src", "hour"])
+    judged = hourly.groupBy("src", "way", "at").agg(
+        F.sum("n").alias("n"),
+        F.max("n_src").alias("n_src"),
+        F.max("days").alias("days"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("on")))).alias("d"),
+        F.sum(F.size("on")).alias("slots"),
+        F.collect_list(F.struct(F.size("on").alias("on"), (F.col("n_hour") / F.col("n_src")).alias("share"))).alias("hours"),
+    )
 
-    def rare(d: str, limit: str) -> Column:
-        recurs = (F.col(d) > 5) & ((F.col(d) > 0.5 * F.col("days")) | ((F.col(d) > 0.2 * F.col("days")) & (F.col(d) > F.col("n") / 125)))
-        return F.when(~recurs, F.col(limit))
+    def kept(h: Column) -> Column:
+        by_chance = F.col("slots") * h["share"]
+        return (h["on"] > 3 * by_chance) & (h["on"] > by_chance + 5 * F.sqrt(by_chance) + 3)
 
-    return seen.select("src", rare("dh", "hi").alias("hi"), rare("dl", "lo").alias("lo")).where("hi is not null or lo is not null")
+    often = (F.col("d") > 0.2 * F.col("days")) & (F.col("n") > F.col("n_src") / 125)
+    regular = (F.col("d") > 0.5 * F.col("days")) & F.exists("hours", kept)
+    rare = judged.where(~((F.col("d") > 5) & (often | regular)))
+    return rare.groupBy("src").agg(F.min(F.when(F.col("way") > 0, F.col("at"))).alias("hi"), F.max(F.when(F.col("way") < 0, F.col("at"))).alias("lo"))
 
 
 def stuck_runs(rows: DataFrame, min_run: int, expected: float) -> DataFrame:

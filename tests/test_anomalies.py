@@ -71,5 +71,16 @@ def test_spikes_of_a_dense_meter(spark):
     assert set(found(spark.createDataFrame(rows, SCHEMA))) == spikes
 
 
+def test_spikes_above_recurring_peaks(spark):
+    """A meter whose peaks recur keeps the spikes that lie far above them."""
+    rng = random.Random(11)
+    values = [rng.uniform(1, 2) for _ in range(1500)]
+    for k in range(20, 1500, 60):
+        values[k] = rng.uniform(9, 15)
+    values[333], values[777], values[1111] = 300.0, 400.0, 0.004
+    df, rows = make(spark, {"both": values})
+    assert {rows[i][3] for i in found(df)} == {300.0, 400.0, 0.004}
+
+
 def test_empty(spark):
     assert found(spark.createDataFrame([], SCHEMA)) == {}

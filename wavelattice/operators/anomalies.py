@@ -73,7 +73,8 @@ def spike_limits(rows: DataFrame, parts: DataFrame, alpha: float, max_share: flo
     on a fifth of the source's days and once in 125 readings, or on more than half of its days
     and at a regular hour: one that has them on more than three times as many days, beyond
     chance, as it would if they were scattered over the readings.  Scattered values thus
-    do not recur, however many readings a day there are.
+    do not recur, however many readings a day there are.  The limit is the first gap outwards
+    beyond which nothing recurs, so spikes far above recurring peaks are found.
     """
     r = (F.col("y") - F.col("t") - F.coalesce(F.try_element_at("s", F.col("hour")), F.lit(0.0))) / F.greatest("sd", F.lit(min_sd))
     scored = rows.join(parts, ["src", "shard"]).select("src", "y", "hour", "day", "n_src", "days", r.alias("r"))
@@ -92,7 +93,7 @@ def spike_limits(rows: DataFrame, parts: DataFrame, alpha: float, max_share: flo
     whole = Window.partitionBy("src")
     cut = F.min(F.when(beyond, F.col("rb"))).over(whole)
     out = walked.withColumn("out", F.coalesce((F.col("side") != 0) & (F.col("rb") >= cut), F.lit(False)))
-    # The chain of values from the normal ones outwards, broken at the first wide gap.
+    # The chain of values from the normal ones outwards, broken at every wide gap.
     rest = out.withColumn("top", F.max(F.when(~F.col("out"), F.col("y1"))).over(whole)).withColumn("low", F.min(F.when(~F.col("out"), F.col("y0"))).over(whole))
     upward = Window.partitionBy("src").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1)
     downward = Window.partitionBy("src").orderBy(F.desc("y1"), F.desc("y0")).rowsBetween(Window.unboundedPreceding, -1)
@@ -100,7 +101,8 @@ def spike_limits(rows: DataFrame, parts: DataFrame, alpha: float, max_share: flo
     gap = math.log(far)
     high = F.when(F.col("out") & (F.col("side") > 0) & (F.col("y0") > F.col("top")) & (F.col("y0") - F.col("below") >= gap), F.col("y0"))
     deep = F.when(F.col("out") & (F.col("side") < 0) & (F.col("y1") < F.col("low")) & (F.col("above") - F.col("y1") >= gap), F.col("y1"))
-    limits = rest.groupBy("src").agg(F.array_compact(F.array(F.min(high))).alias("highs"), F.array_compact(F.array(F.max(deep))).alias("deeps"))
+    # Every gap is a limit that may be taken; each parts values by a factor ``far``, so a source has few.
+    limits = rest.groupBy("src").agg(F.collect_set(high).alias("highs"), F.collect_set(deep).alias("deeps"))
     # How often, on which days and at which hours values lie beyond each limit.
     passed = F.concat(
         F.transform(F.filter("highs", lambda v: F.col("y0") >= v), lambda v: F.struct(F.lit(1).alias("way"), v.alias("at"))),
@@ -124,7 +126,9 @@ def spike_limits(rows: DataFrame, parts: DataFrame, alpha: float, max_share: flo
 
     often = (F.col("d") > 0.2 * F.col("days")) & (F.col("n") > F.col("n_src") / 125)
     regular = (F.col("d") > 0.5 * F.col("days")) & F.exists("hours", kept)
-    rare = judged.where(~((F.col("d") > 5) & (often | regular)))
+    ways = judged.withColumn("recurs", (F.col("d") > 5) & (often | regular)).withColumn("out_by", F.col("way") * F.col("at"))  # grows outwards on either side
+    ways = ways.withColumn("usual", F.max(F.when(F.col("recurs"), F.col("out_by"))).over(Window.partitionBy("src", "way")))
+    rare = ways.where(F.col("usual").isNull() | (F.col("out_by") > F.col("usual")))
     return rare.groupBy("src").agg(F.min(F.when(F.col("way") > 0, F.col("at"))).alias("hi"), F.max(F.when(F.col("way") < 0, F.col("at"))).alias("lo"))
 
 

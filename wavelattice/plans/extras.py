@@ -79,7 +79,7 @@ def z2_degree_profile(spark, d):
     from pyspark.sql import Window
 
     p = user_points(spark, d)
-    g = graph.degrees(graph.nodes_of(p), nvg_edges(p, 20))
+    g = graph.degrees(graph.nodes_of(p), nvg_edges(p))
     return rounded(g.select("series_id", "node", "degree", F.avg("degree").over(Window.partitionBy("series_id")).alias("mean_degree")))
 
 
@@ -125,7 +125,7 @@ def q3_ccf_permutation(spark, d):
 
 def q11_metrics_significance(spark, d):
     """Three metrics against one set of surrogates."""
-    metric = lambda p: graph.summary(graph.nodes_of(p), nvg_edges(p, 20)).select("series_id", "n_edges", "avg_degree", "max_degree")
+    metric = lambda p: graph.summary(graph.nodes_of(p), nvg_edges(p)).select("series_id", "n_edges", "avg_degree", "max_degree")
     return significance.metric_significance(user_points(spark, d), metric, ["n_edges", "avg_degree", "max_degree"], "block_bootstrap", 5)
 
 

@@ -123,7 +123,7 @@ def x4_coupling(spark, d):
 def x5_compare_networks(spark, d):
     p = user_points(spark, d)
     n = graph.nodes_of(p)
-    return rounded(multivariate.compare_networks(n, hvg_edges(p), n, nvg_edges(p, 20)))
+    return rounded(multivariate.compare_networks(n, hvg_edges(p), n, nvg_edges(p)))
 
 
 FEATURES = ["n_edges", "avg_degree", "std_degree", "density"]
@@ -217,7 +217,7 @@ def q13_link_significance(spark, d):
 
 def q14_motif_zscores(spark, d):
     p = user_points(spark, d)
-    return significance.motif_zscores(graph.nodes_of(p), nvg_edges(p, 20), 5)
+    return significance.motif_zscores(graph.nodes_of(p), nvg_edges(p), 5)
 
 
 def q16_partial_correlation(spark, d):
@@ -249,7 +249,7 @@ def z4_method_comparison(spark, d):
     p = user_points(spark, d)
     n = graph.nodes_of(p)
     out = None
-    for name, e in (("hvg", hvg_edges(p)), ("nvg", nvg_edges(p, 20))):
+    for name, e in (("hvg", hvg_edges(p)), ("nvg", nvg_edges(p))):
         s = graph.summary(n, e).select("series_id", F.lit(name).alias("method"), "n_edges", "avg_degree", "density")
         out = s if out is None else out.unionByName(s)
     return rounded(out)

@@ -11,6 +11,7 @@ from wavelattice.operators.series import number_points
 from wavelattice.plans.common import DEGREES, HVG, ORDERS, POINTS, SUMMARY, nvg, order_days, r, rounded, user_points
 from wavelattice.session import read_table
 
+#: Horizon of ``v9_nvg_limited_edges`` and of the SQL; the other queries on users' series have none.
 LIMIT = 20
 
 
@@ -21,7 +22,7 @@ def _hvg(spark: SparkSession, d: str, **kw) -> tuple[DataFrame, DataFrame]:
 
 def _nvg(spark: SparkSession, d: str, **kw) -> tuple[DataFrame, DataFrame]:
     p = user_points(spark, d)
-    return p, nvg_edges(p, **({"limit": LIMIT} | kw))
+    return p, nvg_edges(p, **kw)
 
 
 def v1_hvg_stats(spark, d):
@@ -79,6 +80,10 @@ def v8_nvg_edges_long(spark, d):
     return nvg_edges(order_days(spark, d), limit=50, shard_points=400)
 
 
+def v9_nvg_limited_edges(spark, d):
+    return _nvg(spark, d, limit=LIMIT)[1]
+
+
 def v10_nvg_strict_edges(spark, d):
     return _nvg(spark, d, strict=True)[1]
 
@@ -241,7 +246,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         v1_hvg_stats, v1_hvg_edges, v1_hvg_edges_long, v2_hvg_loose_edges, v6_hvg_strict_edges, v5_hvg_limited_edges, v7_hvg_directed_degrees,
-        v3_hvg_long_stats, v13_nvg_long_stats, v8_nvg_edges, v8_nvg_edges_long, v10_nvg_strict_edges, v11_nvg_stats, v12_nvg_capped_edges, v18_nvg_slopes,
+        v3_hvg_long_stats, v13_nvg_long_stats, v8_nvg_edges, v8_nvg_edges_long, v9_nvg_limited_edges, v10_nvg_strict_edges, v11_nvg_stats, v12_nvg_capped_edges, v18_nvg_slopes,
         a1_degrees, a4_directed_stats, a5_weight_stats, a6_triangles, a7_graph_summary, a8_small_world, a9_motif_summary, a12_assortativity,
         g1_clustering, g4_node_triangles, g5_path_lengths, g7_components, g7_giant_component, g8_communities, g8_modularity,
         g11_node_features, g11_pagerank, g12_node_roles, g14_motifs3, g15_motifs4, g17_core_numbers, u3_mutual_edges,
@@ -284,6 +289,7 @@ ORACLES = {
     "v7_hvg_directed_degrees": f"{_E_HVG}, {DEGREES} select series_id, node, in_degree, out_degree from deg",
     "v8_nvg_edges": f"{_E_NVG} select * from e",
     "v8_nvg_edges_long": f"with {ORDERS}, {nvg(50)} select * from e",
+    "v9_nvg_limited_edges": f"{_E_NVG} select * from e",
     "v10_nvg_strict_edges": f"with {POINTS}, {nvg(LIMIT, True)} select * from e",
     "v11_nvg_stats": f"{_E_NVG}, {DEGREES} {SUMMARY}",
     "v12_nvg_capped_edges": f"""{_E_NVG}, f as (select *, row_number() over (partition by series_id, src order by dst) as k from e)

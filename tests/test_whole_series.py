@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from wavelattice.plans import registry
 
@@ -23,3 +24,14 @@ def test_natural_visibility_has_no_horizon(spark, folder):
     assert {r.mean_degree for r in q("z2_degree_profile")} == {59.0}
     assert {r.n_edges for r in q("z4_method_comparison") if r.method == "nvg"} == {1770}
     assert max(r.dst - r.src for r in q("v9_nvg_limited_edges")) == 20
+
+
+def test_correlations_of_whole_series(spark, folder):
+    """All users, short ones too, over all days that both have."""
+    got = {(r.i, r.j): r.dist for r in registry.QUERIES["d1_correlation_users"](spark, folder).collect()}
+    rows = spark.read.parquet(folder + "/events.parquet").toPandas()
+    wide = rows.pivot(index="ts", columns="user_id", values="value")
+    assert set(got) == {("u1", "u2"), ("u1", "u3"), ("u2", "u3")}
+    for (i, j), v in got.items():
+        both = wide[[i, j]].dropna()
+        assert v == pytest.approx(1 - abs(np.corrcoef(both[i], both[j])[0, 1]), abs=2e-6)

@@ -21,6 +21,27 @@ def correlation(x, y):
     return 1 - abs(float(np.corrcoef(x, y)[0, 1]))
 
 
+def overlap_correlation(x, y):
+    """1 - |r| over the places where both have a value (see ``aligned``; nan where fewer than two, or constant there)."""
+    both = ~(np.isnan(x) | np.isnan(y))
+    return correlation(x[both], y[both]) if both.sum() > 1 else np.nan
+
+
+def _overlap_matrix(xs: list[np.ndarray]) -> np.ndarray:
+    """``overlap_correlation`` of all pairs, by matrix products of the values and of their masks."""
+    m = np.stack(xs)
+    has = (~np.isnan(m)).astype(np.float64)
+    n_own = np.maximum(has.sum(1, keepdims=True), 1)
+    m = np.where(has > 0, m, 0.0)
+    m = np.where(has > 0, m - m.sum(1, keepdims=True) / n_own, 0.0)
+    n, s, sq = has @ has.T, m @ has.T, (m * m) @ has.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        var = sq - s * s / n
+        var = np.where(var > 1e-12 * sq, var, np.nan)  # constant where both have a value
+        r = (m @ m.T - s * s.T / n) / np.sqrt(var * var.T)
+    return np.where(n > 1, 1 - np.abs(np.clip(r, -1, 1)), np.nan)
+
+
 def cross_correlation(x, y, max_lag=None):
     """1 - the greatest |cross-correlation| of the standardised series over all lags."""
     n = len(x)
@@ -157,7 +178,7 @@ REGISTRY: dict[str, Callable[..., float]] = {
     "correlation": correlation, "cor": correlation, "ccf": cross_correlation, "cross_correlation": cross_correlation, "dtw": dtw,
     "nmi": mutual_information, "mutual_information": mutual_information, "voi": variation_of_information, "variation_of_information": variation_of_information,
     "es": event_synchronisation, "event_sync": event_synchronisation, "vr": van_rossum, "van_rossum": van_rossum, "mic": maximal_information,
-    "metric_correlation": metric_correlation, "metric_ccf": metric_cross_correlation, "euclidean": euclidean,
+    "metric_correlation": metric_correlation, "metric_ccf": metric_cross_correlation, "euclidean": euclidean, "overlap_correlation": overlap_correlation,
 }
 
 
@@ -166,6 +187,12 @@ def pack(panel: DataFrame) -> DataFrame:
     return panel.groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "value"))), lambda p: p["value"]).alias("x"))
 
 
+def aligned(panel: DataFrame) -> DataFrame:
+    """Every series at every ``t`` of the panel, nan where it has no value there."""
+    every = panel.select("series_id").distinct().crossJoin(panel.select("t").distinct())
+    return every.join(panel, ["series_id", "t"], "left").select("series_id", "t", F.coalesce("value", F.lit(float("nan"))).alias("value"))
+
+
 def pair_distances(panel: DataFrame, method: str | Callable[..., float] = "correlation", block: int = 256, only: list | None = None, **options) -> DataFrame:
     """``i, j, dist`` with i < j for all pairs of series of a panel ``series_id, t, value``.
 
@@ -195,6 +222,8 @@ def pair_distances(panel: DataFrame, method: str | Callable[..., float] = "corre
             with np.errstate(divide="ignore", invalid="ignore"):
                 z = np.where(sd > 0, (m - m.mean(1, keepdims=True)) / sd, np.nan)
             fast = 1 - np.abs(np.clip(z @ z.T / m.shape[1], -1, 1))
+        elif name == "overlap_correlation" and len(xs):
+            fast = _overlap_matrix(xs)
         rows = []
         for a in range(len(ids)):
             for b in range(a + 1, len(ids)):

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from wavelattice.operators import distances as dist
 from wavelattice.operators import events, graph, graphpaths, recurrence, significance, transition, windows
+from wavelattice.operators.series import finite
 from wavelattice.operators.visibility import hvg_edges, nvg_edges
 from wavelattice.plans.common import DEGREES, HVG, PANEL, POINTS, nvg, r, rounded, type_days, user_points
 from wavelattice.plans.relations import _flat, _pairs_xy, _sides
+from wavelattice.session import read_table
 from wavelattice.sources.readers import from_pandas
 
 
@@ -92,10 +94,11 @@ def d15_voi_32(spark, d):
 
 
 def d1_correlation_users(spark, d):
-    """Correlation distances of all users' first forty values: many blocks' worth of pairs."""
-    p = user_points(spark, d)
-    long = p.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 40").select("series_id")
-    return rounded(dist.pair_distances(p.where("t < 40").join(long, "series_id"), block=64), 6)
+    """Correlation distances of all users' daily means over the days that both have: many blocks' worth of pairs."""
+    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(86_400_000_000)).alias("t")
+    usable = F.col("user_id").isNotNull() & F.col("ts").isNotNull() & finite(F.col("value"))
+    days = read_table(spark, d, "events").where(usable).groupBy(F.col("user_id").alias("series_id"), day).agg(F.round(F.avg("value"), 6).alias("value"))
+    return rounded(dist.pair_distances(dist.aligned(days), "overlap_correlation", block=64), 6)
 
 
 def e2_event_sync_fixed(spark, d):

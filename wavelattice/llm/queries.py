@@ -21,10 +21,11 @@ def p1_meter_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_meter_day_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles per meter and day of timestamp from the digests of the days."""
+    """Certified percentiles per meter and day of timestamp from the digests of the days."""
     days = read_table(spark, d, "spain_smart_meter_data").withColumn("day", F.to_date("timestamp"))
     digests = merge_digests(partial_digests(days, ["meter_id", "day"], "consumption_kwh"), ["k0", "k1"], "part")
-    return quantiles(digests, ["k0", "k1"], QS).select(F.col("k0").alias("meter_id"), F.col("k1").alias("day"), "n", "q", "estimate")
+    found = quantiles(digests, ["k0", "k1"], QS).select(F.col("k0").alias("meter_id"), F.col("k1").alias("day"), "n", "q", "estimate")
+    return certify(days, ["meter_id", "day"], "consumption_kwh", found)
 
 
 def p1_from_days(spark: SparkSession, d: str) -> DataFrame:

@@ -36,9 +36,32 @@ def test_passage_of():
     assert passage_of(None) == "" and passage_of("Use only the text to answer.\nQuestion: Why?") == ""
 
 
+def test_question_inside_passage():
+    inner = "The mill stood empty for eleven winters before the brothers bought it. Who would have guessed that the river carried gold past its wheel? Every farmer in the county came to look at the water that spring."
+    assert passage_of(inner + "\nQuestion: Who came?\n(A) x") == inner and passage_of("Use only the text to answer. " + inner + " What did they buy?") == inner
+    found = Passages([(1, inner + "\nQuestion: Who came?")], 18, 4, 3)
+    assert leaked(found, inner) == [1] and leaked(found, " ".join(inner.split()[:25])) == [1] and leaked(found, " ".join(inner.split()[9:27])) == [1]
+    begins = "Choose the text below with care, said the old printer to the boy who swept the floor of his shop by the river. " + inner
+    assert leaked(Passages([(1, "Passage: " + begins.replace("Choose", "He chose") + "\nQuestion: Who?")], 18, 4, 3), begins.replace("Choose", "He chose")) == [1]
+
+
+def test_far_apart(passages):
+    rows = lines(WORDS[:24])
+    rows[2:2] = lines((OTHER * 20).split())  # some eighty lines of other matter
+    assert leaked(passages, "\n".join(rows)) == [1, 2]
+
+
+def test_columns_run_together(passages):
+    left, right = lines((OTHER * 2).split(), 4), lines(WORDS, 4)
+    page = [f"{a:<40}   {b}" if b else a for a, b in zip(left, [*right, *[""] * len(left)])]
+    assert leaked(passages, "\n".join(page)) == [1, 2]
+    at = [100 + 20 * i for i in range(len(page))]
+    assert leaked(passages, "\n".join(page), [40] * len(page), at) == [1, 2]
+
+
 @pytest.fixture(scope="module")
 def passages():
-    return Passages([(1, PASSAGE + "\nQuestion: Why?"), (2, PASSAGE), (3, OTHER.replace("the", "some").replace("committee", "regiment") * 3)], 18, 8)
+    return Passages([(1, PASSAGE + "\nQuestion: Why?"), (2, PASSAGE), (3, OTHER.replace("the", "some").replace("committee", "regiment") * 3)], 18, 4, 3)
 
 
 def lines(words, width=5, sign=None):
@@ -46,7 +69,7 @@ def lines(words, width=5, sign=None):
 
 
 def leaked(passages, text, x=None, y=None):
-    return sorted(leaks_in(passages, text, x, y, 4, 15, 1))
+    return sorted(leaks_in(passages, text, x, y, 1))
 
 
 WORDS = PASSAGE.split()

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import bisect
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate, product
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,6 +15,7 @@ from wavelattice.llm.pages import BREAKS, letters, page_columns, restored_lines
 
 # How the parts of an item that are not its passage begin.
 _LABELLED = re.compile(r"^\s*(?:question|q|answer|a|choices|options|instruction)s?\s*:", re.I)
+_ANSWER = re.compile(r"^\s*(?:answer|a|choices|options|instruction)s?\s*:", re.I)
 _CHOICE = re.compile(r"^\s*(?:\(?[A-Ha-h]\)|[A-H][.:])\s")
 _INSTRUCTION = re.compile(r"^(?:read|use|choose|answer|select|pick|based on|using|consider|decide|refer|complete)\b[^.]*\b(?:passage|text|answer|below|following|question|option)s?\b", re.I)
 _PASSAGE = re.compile(r"^\s*(?:passage|text|context|story|article)\s*:\s*", re.I)
@@ -22,12 +23,33 @@ _SENTENCE_END = re.compile(r"(?<=[.?!])[\"')\]]*\s+")
 
 
 def passage_of(text: str | None) -> str:
-    """An item's passage: without its instruction, question and answer choices ('' where nothing is left)."""
+    """An item's passage: without its instruction, question and answer choices ('' where nothing is left).
+
+    An item asks one question.  Where no line is labelled as one, the last sentence that ends the
+    text in a question mark, or else the first, is the question; all sentences between stay as they stand.
+    """
     if not text:
         return ""
-    kept = [_PASSAGE.sub("", line) for line in text.split("\n") if not _LABELLED.match(line) and not _CHOICE.match(line)]
-    sentences = _SENTENCE_END.split(" ".join(kept).strip())
-    return " ".join(s for s in sentences if s and not s.rstrip("\"')] ").endswith("?") and not _INSTRUCTION.match(s)).strip()
+    lines = text.split("\n")
+    asked = any(_LABELLED.match(line) and not _ANSWER.match(line) for line in lines)
+    kept = [_PASSAGE.sub("", line) for line in lines if not _LABELLED.match(line) and not _CHOICE.match(line)]
+    sentences = [s for s in _SENTENCE_END.split(" ".join(kept).strip()) if s]
+
+    def is_question(sentence: str) -> bool:
+        return sentence.rstrip("\"')] ").endswith("?")
+
+    if sentences and _INSTRUCTION.match(sentences[0]):
+        sentences.pop(0)
+    if sentences and not asked:
+        if is_question(sentences[-1]):
+            sentences.pop()
+        elif is_question(sentences[0]):
+            sentences.pop(0)
+    if sentences and _INSTRUCTION.match(sentences[0]):
+        sentences.pop(0)
+    if sentences and _INSTRUCTION.match(sentences[-1]):
+        sentences.pop()
+    return " ".join(sentences).strip()
 
 
 def myers(pattern: str, text: str, most: int) -> int:
@@ -63,6 +85,14 @@ def budget(word: str) -> int:
     return 0 if n < 2 else 1 if n < 5 else 2 if n < 9 else 3
 
 
+def same_word(a: str, b: str) -> bool:
+    """Whether either word may be a misreading of the other."""
+    if a == b:
+        return True
+    most = min(budget(a), budget(b))
+    return abs(len(a) - len(b)) <= most and any(a[i : i + n] in b for i, n in _cuts(len(a), most)) and myers(a, b, most) <= most
+
+
 def _cuts(n: int, most: int) -> list[tuple[int, int]]:
     """Start and width of the ``most + 1`` pieces of a word of ``n`` letters."""
     edges = [n * i // (most + 1) for i in range(most + 2)]
@@ -72,14 +102,17 @@ def _cuts(n: int, most: int) -> list[tuple[int, int]]:
 class Passages:
     """The query side: distinct passages, their words, and the pieces that pigeonhole them.
 
-    A passage's letters are cut into pieces of ``piece`` letters.  A stretch of ``run`` words
-    holds at least ``k`` whole pieces; damage of up to ``k - need`` pieces leaves ``need`` exact ones.
+    Any ``run`` words of a passage may suffer ``errors`` errors (misread places, line breaks with other matter
+    behind them) and so hold ``errors + 1`` pieces, one of which at least stands undamaged in the text.  The pieces of all
+    these stretches lie on one grid per passage: m letters hold at least ``(m + 1) // size - 1`` whole pieces of
+    ``size`` letters, and the shortest stretch of the passage sets the size.  ``damaged`` is the number of words of
+    a stretch that may be beyond recognition as single words.
     """
 
-    def __init__(self, items: list[tuple[int, str]], run: int, piece: int) -> None:
+    def __init__(self, items: list[tuple[int, str]], run: int, errors: int, damaged: int) -> None:
         import ahocorasick
 
-        self.run, self.piece = run, piece
+        self.run, self.damaged = run, damaged
         texts: dict[str, list[int]] = defaultdict(list)
         for item, text in items:
             words = [w for w in (letters(x) for x in passage_of(text).split()) if w]
@@ -87,14 +120,18 @@ class Passages:
                 texts[" ".join(words)].append(item)
         self.words = [t.split(" ") for t in texts]
         self.items = list(texts.values())
-        pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        pieces: dict[str, set[int]] = defaultdict(set)
         for k, words in enumerate(self.words):
+            ends = list(accumulate(map(len, words), initial=0))
+            stretches = [ends[i + run] - ends[i] for i in range(len(words) - run + 1)]
+            size = max(2, (min(stretches) + 1) // (errors + 2))
             whole = "".join(words)
-            for i in range(len(whole) // piece):
-                pieces[whole[i * piece : (i + 1) * piece]].append((k, i))
+            for i in range(len(whole) // size):
+                pieces[whole[i * size : (i + 1) * size]].add(k)
         self.automaton = ahocorasick.Automaton()
-        for s, places in pieces.items():
-            self.automaton.add_word(s, places)
+        self.holders = list(pieces.values())
+        for i, s in enumerate(pieces):
+            self.automaton.add_word(s, i)
         if pieces:
             self.automaton.make_automaton()
         self.empty = not pieces
@@ -111,31 +148,13 @@ class Passages:
             for i, (at, size) in enumerate(_cuts(len(w), budget(w))):
                 self.word_pieces[len(w), i, w[at : at + size]].append(w)
         self.memo: dict[str, tuple[str, ...]] = {}
+        self.beginnings: dict[str, frozenset[str]] = {}
+        self.joined: dict[tuple[str, str], tuple[str, ...]] = {}
 
-    def chains(self, text: str, need: int, skip: int, reach: int) -> dict[int, list[tuple[int, int]]]:
-        """Passage -> regions of ``text`` (first and last letter) where at least ``need`` of its pieces follow one another.
-
-        From one exact piece to the next at most ``skip`` pieces may be damaged, and at most
-        ``reach`` letters of other matter may stand between.
-        """
-        ends: dict[int, dict[int, tuple[int, int, int]]] = {}
-        found: dict[int, list[tuple[int, int]]] = {}
-        for at, places in self.automaton.iter(text):
-            for k, i in places:
-                mine = ends.setdefault(k, {})
-                length, start = 1, at
-                for j in range(max(0, i - 1 - skip), i):
-                    e = mine.get(j)
-                    if e is not None and at - e[2] <= reach and e[0] + 1 > length:
-                        length, start = e[0] + 1, e[1]
-                mine[i] = (length, start, at)
-                if length >= need:
-                    spans = found.setdefault(k, [])
-                    if spans and spans[-1][0] <= start <= spans[-1][1] + reach:
-                        spans[-1] = (spans[-1][0], at)
-                    else:
-                        spans.append((start, at))
-        return found
+    def candidates(self, text: str) -> list[int]:
+        """Passages of which ``text`` holds a piece."""
+        hit = {i for _, i in self.automaton.iter(text)}
+        return sorted(set().union(*[self.holders[i] for i in hit])) if hit else []
 
     def similar(self, word: str) -> tuple[str, ...]:
         """Words of the passages that ``word`` is or may be a misreading of."""
@@ -155,120 +174,195 @@ class Passages:
             self.memo[word] = got
         return got
 
-    def alike(self, k: int, word: str) -> list[int]:
-        """Places in passage ``k`` of the words that ``word`` may be a misreading of."""
-        where = self.places[k]
-        return [p for w in self.similar(word) for p in where.get(w, ())]
+    def begun(self, half: str) -> frozenset[str]:
+        """Words of the passages that begin like ``half``, the first part of a broken word, up to one misread letter."""
+        got = self.beginnings.get(half)
+        if got is None:
+            n, m = len(half), len(half) // 2
+            left, right = half[:m], half[m:]  # one error leaves either part whole
+            got = frozenset(w for w in self.vocabulary if len(w) > n and (w.startswith(half) or (n > 2 and (w.startswith(left) or right in w) and myers(w[:n], half, 1) <= 1)))
+            if len(self.beginnings) > 50_000:  # only a cache
+                self.beginnings.clear()
+            self.beginnings[half] = got
+        return got
 
 
-def longest_run(passages: Passages, k: int, lines: list[list[str]], broken: list[bool], far: int, lone: int) -> bool:
-    """Whether ``run`` consecutive words of passage ``k`` stand in the lines.
+    def joins(self, half: str, rest: str, whole: frozenset[str]) -> tuple[str, ...]:
+        """The words of ``whole`` that a broken word's two parts are, or may be a misreading of."""
+        got = self.joined.get((half, rest))
+        if got is None:
+            n = len(half) + len(rest)
+            got = tuple(w for w in whole if -3 <= len(w) - n <= 3 and same_word(w, half + rest))
+            if len(self.joined) > 200_000:  # only a cache
+                self.joined.clear()
+            self.joined[half, rest] = got
+        return got
+
 
-    ``lines`` are the words of each line.  Words match when equal or within ``budget`` of
+class Page:
+    """A page's words by line, in reading order, and which words of the passages each may be a misreading of."""
+
+    def __init__(self, passages: Passages, lines: list[str]) -> None:
+        self.passages = passages
+        self.words: list[list[str]] = []
+        self.similar: list[list[tuple[str, ...]]] = []
+        #: For each line the words that its last one, broken by a sign, may begin.
+        self.begun: list[frozenset[str]] = []
+        self.known: set[str] = set()
+        for line in lines:
+            line = line.rstrip()
+            words = [w for w in map(letters, line.replace("—", " ").split()) if w]
+            similar = [passages.similar(w) for w in words]
+            self.words.append(words)
+            self.similar.append(similar)
+            self.begun.append(passages.begun(words[-1]) if words and line[-1:] in BREAKS else frozenset())
+            self.known.update(*similar)
+
+    def may_hold(self, k: int) -> bool:
+        """Whether the page knows all but ``damaged`` words of a stretch of passage ``k``, broken words taken as whole."""
+        p = self.passages
+        known = self.known.union(*self.begun)
+        sums = list(accumulate([w in known for w in p.words[k]], initial=0))
+        return any(b - a >= p.run - p.damaged for a, b in zip(sums, sums[p.run :]))
+
+    def complete(self) -> None:
+        """Joins broken words, and notes which words are neighbours."""
+        #: For each line the words that its first one completes: the line of the first part and the word.
+        self.completed: list[list[tuple[int, str]]] = []
+        #: Pairs of neighbours within a line, and words at the ends and starts of lines.
+        self.pairs: set[tuple[str, str]] = set()
+        self.firsts: set[str] = set()
+        self.lasts: set[str] = set()
+        halves: list[tuple[int, str, frozenset[str]]] = []
+        for y, (words, similar, begun) in enumerate(zip(self.words, self.similar, self.begun)):
+            done = [(x, w) for x, half, whole in halves for w in self.passages.joins(half, words[0], whole)] if words else []
+            self.completed.append(done)
+            for left, right in zip(similar, similar[1:]):
+                if left and right:
+                    self.pairs.update(product(left, right))
+            if words:
+                first = [w for _, w in done]
+                self.known.update(first)
+                self.pairs.update(product(first, similar[1] if len(words) > 1 else ()))
+                self.firsts.update(similar[0], first)
+                self.lasts.update(similar[-1], first if len(words) == 1 else ())
+                if begun:
+                    halves.append((y, words[-1], begun))
+                    self.lasts.update(*similar[-2:-1])
+
+
+def longest_run(passages: Passages, k: int, page: Page, lone: int) -> bool:
+    """Whether ``run`` consecutive words of passage ``k`` stand in the page.
+
+    Words match when equal or within ``budget`` of
     Myers' distance.  A run goes on over a word split in two or two words run together,
     over a lone replaced word (at most ``lone`` in any ``run`` words), and at a line's end to the
-    start of a line up to ``far`` lines below, with a word that the line break divides.
+    start of any line below, with a word that the line break divides.  Only stretches of which the page
+    knows all but ``damaged`` words, and the pairs of neighbours that these leave, wherever they stand, are followed word by word.
     """
     need, own = passages.run, passages.words[k]
     size = len(own)
-    # A state holds the places of replaced words within the last ``need`` words and the run's length.
-    ends: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-    halves: list[tuple[str, dict[int, tuple[int, tuple[int, ...]]]] | None] = []
-
-    def better(a: tuple | None, b: tuple) -> tuple:
+    known = [w in page.known for w in own]
+    sums = list(accumulate(known, initial=0))
+    if not any(sums[p + need] - sums[p] >= need - passages.damaged for p in range(size - need + 1)):
+        return False
+    linked = list(accumulate(((a, b) in page.pairs or (a in page.lasts and b in page.firsts) for a, b in zip(own, own[1:])), initial=0))
+    where: dict[str, list[int]] = {}
+    open_to = -1
+    for p in range(size):
+        # a word that is not known parts two links
+        if p + need <= size and sums[p + need] - sums[p] >= need - passages.damaged and linked[p + need - 1] - linked[p] >= need - 1 - 2 * passages.damaged:
+            open_to = p + need
+        if p < open_to:
+            where.setdefault(own[p], []).append(p)
+    if not where:
+        return False
+    # A state holds the run's length and the places of replaced words within the last ``need`` words.
+    State = tuple[int, tuple[int, ...]]
+    empty: dict[int, State] = {}
+    above: dict[int, State] = {}  # the best states at the ends of the lines above
+    heads: list[dict[int, State]] = []  # of each line the states before its last word
+
+    def better(a: State | None, b: State) -> State:
         return b if a is None or (b[0], -len(b[1])) > (a[0], -len(a[1])) else a
 
-    def grown(state: tuple[int, tuple[int, ...]], p: int, missed: int | None = None) -> tuple[int, tuple[int, ...]]:
+    def grown(state: State, p: int, missed: int | None = None) -> State:
         length, gone = state[0] + (1 if missed is None else 2), state[1]
         if missed is not None:
             gone = (*gone, missed)
-        gone = tuple(g for g in gone if g > p - need)
-        if len(gone) > lone:  # the run starts anew behind the oldest replaced word
-            cut = gone[-lone - 1]
-            gone = gone[-lone:] if lone else ()
-            length = min(length, p - cut)
+        if gone:
+            gone = tuple(g for g in gone if g > p - need)
+            if len(gone) > lone:  # the run starts anew behind the oldest replaced word
+                cut = gone[-lone - 1]
+                gone = gone[-lone:] if lone else ()
+                length = min(length, p - cut)
         return (length, gone)
 
-    empty: dict[int, tuple[int, tuple[int, ...]]] = {}
-    for y, words in enumerate(lines):
+    for words, similar, completed in zip(page.words, page.similar, page.completed):
         before2, before = empty, empty  # states at the last two words of this line
-        n = len(words)
-        above: dict[int, tuple[int, tuple[int, ...]]] = {}  # states at the ends of the lines above
-        for e in ends[max(0, y - far) : y]:
-            for p, s in e.items():
-                above[p] = better(above.get(p), s)
-        for c, word in enumerate(words):
-            now: dict[int, tuple[int, tuple[int, ...]]] = {}
-            for p in passages.alike(k, word):
-                best: tuple | None = (1, ())
-                if c:
-                    if (s := before.get(p - 1)) is not None:
-                        best = better(best, grown(s, p))
-                    if (s := before2.get(p - 2)) is not None:
-                        best = better(best, grown(s, p, p - 1))
-                if c <= 1 and above:
-                    if c == 0 and (s := above.get(p - 1)) is not None:
-                        best = better(best, grown(s, p))
-                    if (s := above.get(p - 2)) is not None:
-                        best = better(best, grown(s, p, p - 1))
-                now[p] = best
-            if c and before2:  # a word in two pieces
+        for c, like in enumerate(similar):
+            if not like and not before and not before2 and not (c == 0 and completed):
+                continue
+            word = words[c]
+            now: dict[int, State] = {}
+            for w in like:
+                for p in where.get(w, ()):
+                    best: State | None = (1, ())
+                    if c:
+                        if (s := before.get(p - 1)) is not None:
+                            best = better(best, grown(s, p))
+                        if (s := before2.get(p - 2)) is not None:
+                            best = better(best, grown(s, p, p - 1))
+                    if c <= 1 and above:
+                        if c == 0 and (s := above.get(p - 1)) is not None:
+                            best = better(best, grown(s, p))
+                        if (s := above.get(p - 2)) is not None:
+                            best = better(best, grown(s, p, p - 1))
+                    now[p] = better(now.get(p), best)
+            if before2:  # a word in two pieces
                 whole = words[c - 1] + word
                 for q, s in before2.items():
                     if q + 1 < size and abs(len(own[q + 1]) - len(whole)) <= 1 and myers(own[q + 1], whole, 1) <= 1:
                         now[q + 1] = better(now.get(q + 1), grown(s, q + 1))
-            if len(word) > 5 and before:  # two words in one
+            if before and len(word) > 5:  # two words in one
                 for q, s in before.items():
                     if q + 2 < size and abs(len(own[q + 1]) + len(own[q + 2]) - len(word)) <= 1 and myers(own[q + 1] + own[q + 2], word, 1) <= 1:
                         now[q + 2] = better(now.get(q + 2), grown(grown(s, q + 1), q + 2))
             if c == 0:
-                for x in range(max(0, y - far), y):
-                    half = halves[x]
-                    if half is not None:
-                        for p in passages.alike(k, half[0] + word):
-                            s = half[1].get(p - 1)
-                            now[p] = better(now.get(p), grown(s, p) if s is not None else (1, ()))
+                for x, w in completed:
+                    for p in where.get(w, ()):
+                        s = heads[x].get(p - 1)
+                        now[p] = better(now.get(p), grown(s, p) if s is not None else (1, ()))
             for s in now.values():
                 if s[0] >= need:
                     return True
             before2, before = before, now
-        ends.append(before)
-        halves.append((words[-1], before2) if n and broken[y] else None)
-        if n > 1:  # the last word replaced: the run goes on two words after the one before it
+        heads.append(above.copy() if len(words) == 1 else before2)
+        for p, s in before.items():
+            above[p] = better(above.get(p), s)
+        if before2 and lone:  # the last word replaced: the run goes on two words after the one before it
             for p, s in before2.items():
-                if p + 1 not in ends[y]:
-                    ends[y] = dict(ends[y])
+                if p + 1 not in before:
                     g = grown(s, p + 1)
-                    ends[y][p + 1] = (g[0], (*g[1], p + 1)) if len(g[1]) < lone else (0, ())
+                    if len(g[1]) < lone:
+                        above[p + 1] = better(above.get(p + 1), (g[0], (*g[1], p + 1)))
     return False
 
 
-def leaks_in(passages: Passages, text: str, x, y, need: int, far: int, lone: int) -> list[int]:
+def leaks_in(passages: Passages, text: str, x, y, lone: int) -> list[int]:
     """Ids of the items whose passage stands in the page."""
     if passages.empty:
         return []
     lines = restored_lines(text, x, y)
-    flat = [letters(line) for line in lines]
-    found = passages.chains("".join(flat), need, skip=4, reach=1_000)
+    found = passages.candidates(letters("".join(lines)))
     if not found:
         return []
-    starts = [0]
-    for f in flat:
-        starts.append(starts[-1] + len(f))
-    out: list[int] = []
-    cache: dict[int, tuple[list[str], bool]] = {}
-    for k, spans in found.items():
-        for a, b in spans:
-            first = max(0, bisect.bisect_right(starts, a) - 1 - 6)
-            last = min(len(lines), bisect.bisect_right(starts, b) + 6)
-            for i in range(first, last):
-                if i not in cache:
-                    line = lines[i].rstrip()
-                    cache[i] = ([w for w in (letters(t) for t in line.replace("—", " ").split()) if w], line[-1:] in BREAKS and bool(line))
-            if longest_run(passages, k, [cache[i][0] for i in range(first, last)], [cache[i][1] for i in range(first, last)], far, lone):
-                out += passages.items[k]
-                break
-    return out
+    page = Page(passages, lines)
+    found = [k for k in found if page.may_hold(k)]
+    if not found:
+        return []
+    page.complete()
+    return [item for k in found if longest_run(passages, k, page, lone) for item in passages.items[k]]
 
 
 def find_leaks(
@@ -280,9 +374,8 @@ def find_leaks(
     doc_text: str = "text",
     boxes: str | None = "line_boxes",
     run: int = 18,
-    piece: int = 8,
-    need: int = 4,
-    far: int = 15,
+    errors: int = 5,
+    damaged: int = 3,
     lone: int = 1,
     block_chars: int = 8_000_000,
 ) -> DataFrame:
@@ -291,8 +384,8 @@ def find_leaks(
     The items are a stated query set: they are read in blocks of at most ``block_chars``
     characters, each block goes to all tasks, and the corpus is scanned once per block
     without any exchange.  Per document, whole and in reading order, an automaton finds the
-    exact pieces of all passages (pigeonhole: of the pieces in ``run`` words, at least ``need``
-    are undamaged), chains of them name passages and regions, and there the words are
+    exact pieces of all passages (pigeonhole: ``errors`` errors leave one of ``errors + 1`` pieces
+    whole); one hit makes the passage a candidate on the page, whose words are then all
     verified with Myers' bit-parallel distance by ``longest_run``.
 
     Null and empty texts leak nothing; a passage of fewer than ``run`` words cannot be found;
@@ -308,12 +401,12 @@ def find_leaks(
         rows = [(r[0], r[1]) for r in part.collect()]
 
         def scan(batches: Iterator[pd.DataFrame], rows: list = rows) -> Iterator[pd.DataFrame]:
-            passages = Passages(rows, run, piece)
+            passages = Passages(rows, run, errors, damaged)
             for pdf in batches:
                 pairs = [
                     (item, doc)
                     for doc, text, x, y in zip(pdf["doc_id"], pdf["text"], pdf["x"], pdf["y"])
-                    for item in leaks_in(passages, text, x, y, need, far, lone)
+                    for item in leaks_in(passages, text, x, y, lone)
                 ]
                 yield pd.DataFrame(pairs, columns=["item_id", "doc_id"], dtype="int64")
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavelattice.session import cut_lineage
+from wavelattice.operators.grouped import stream_groups
+from wavelattice.session import cut_lineage, discard, written
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -132,25 +135,24 @@ def assortativity(edges: DataFrame) -> DataFrame:
     return ends.groupBy("series_id").agg(F.corr(F.col("du").cast("double"), F.col("dv").cast("double")).alias("assortativity"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``series_id, node, component``: the least node of each node's connected component.
 
     Labels spread along edges and jump to their label's label each round, so that the number of
     rounds grows with the logarithm of a component's width; each round is written to the
-    checkpoint folder and the loop ends when no label changes.
+    checkpoint folder, the one before deleted, and the loop ends when no label changes.
     """
     e = cut_lineage(both_ways(simple_edges(edges)))
-    label = cut_lineage(nodes.select("series_id", "node", F.col("node").alias("c")))
-    for _ in range(most_rounds):
+    label, path = written(nodes.select("series_id", "node", F.col("node").alias("c")))
+    while True:
         near = e.join(label.select("series_id", F.col("node").alias("v"), F.col("c").alias("cv")), ["series_id", "v"]).groupBy("series_id", F.col("u").alias("node")).agg(F.min("cv").alias("m"))
         pulled = label.join(near, ["series_id", "node"], "left").select("series_id", "node", "c", F.least("c", F.coalesce("m", "c")).alias("k"))
         jump = pulled.select("series_id", F.col("node").alias("k"), F.col("k").alias("kk"))
-        moved = cut_lineage(pulled.join(jump, ["series_id", "k"], "left").select("series_id", "node", F.least("k", F.coalesce("kk", "k")).alias("c"), F.col("c").alias("old")))
-        changed = moved.where("c <> old").limit(1).count()
-        label = moved.drop("old")
-        if not changed:
-            break
-    return label.select("series_id", "node", F.col("c").alias("component"))
+        moved, new_path = written(pulled.join(jump, ["series_id", "k"], "left").select("series_id", "node", F.least("k", F.coalesce("kk", "k")).alias("c"), F.col("c").alias("old")))
+        discard(nodes.sparkSession, path)
+        label, path = moved.drop("old"), new_path
+        if not moved.where("c <> old").limit(1).count():
+            return label.select("series_id", "node", F.col("c").alias("component"))
 
 
 def giant_component(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -161,24 +163,70 @@ def giant_component(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return c.join(best.select("series_id", "component"), ["series_id", "component"]).select("series_id", "node")
 
 
-def core_numbers(nodes: DataFrame, edges: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """``series_id, node, core``: core numbers by repeated local h-index, which converges to them.
-
-    A node's number is the greatest k such that k neighbours have at least k; each round is one join
-    and one aggregation, written to the checkpoint folder, until nothing changes.
+def _peel(v: list[np.ndarray]) -> np.ndarray:
+    """Core numbers of one graph, given the neighbours of each node by position: nodes are peeled in order of degree."""
+    n = len(v)
+    degree = np.fromiter(map(len, v), np.int64, n)
+    ends = np.zeros(int(degree.max(initial=0)) + 2, dtype=np.int64)
+    np.add.at(ends, degree + 1, 1)
+    first = np.cumsum(ends).tolist()  # where the nodes of each degree start in the order
+    order = np.argsort(degree, kind="stable")
+    at = np.empty(n, dtype=np.int64)
+    at[order] = np.arange(n)
+    order, at, core = order.tolist(), at.tolist(), degree.tolist()
+    for i in range(n):
+        u = order[i]
+        for w in v[u].tolist():
+            if core[w] > core[u]:  # w goes to the front of its degree and one degree down
+                front = first[core[w]]
+                x, place = order[front], at[w]
+                order[front], order[place], at[w], at[x] = w, x, front, place
+                first[core[w]] = front + 1
+                core[w] -= 1
+    return np.asarray(core, dtype=np.int64)
+
+
+def core_numbers(nodes: DataFrame, edges: DataFrame, most_local: int = 5_000_000) -> DataFrame:
+    """``series_id, node, core``: core numbers.
+
+    Graphs of at most ``most_local`` edges are peeled in one pass each, many to a batch.  Larger ones go by
+    repeated local h-index, which converges to the same numbers: a node's number is the greatest k
+    such that k neighbours have at least k; each round is one join and one aggregation, written to the
+    checkpoint folder, until nothing changes, however many rounds that takes.
     """
-    e = cut_lineage(both_ways(simple_edges(edges)))
-    core = cut_lineage(degrees(nodes, simple_edges(edges)).select("series_id", "node", F.col("degree").cast("long").alias("core")))
-    for _ in range(most_rounds):
+    simple = cut_lineage(simple_edges(edges))
+    sizes = simple.groupBy("series_id").agg(F.count(F.lit(1)).alias("m"))
+    large = sizes.where(F.col("m") > most_local).select("series_id")
+    kind = nodes.schema["series_id"].dataType.simpleString()
+
+    def peel(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        out = []
+        for lo, hi in zip(starts, np.r_[starts[1:], len(rows)]):
+            ids = rows["node"].to_numpy()[lo:hi]
+            out.append(_peel([np.searchsorted(ids, np.asarray(v)) for v in rows["near"].iloc[lo:hi]]))
+        return pd.DataFrame({"series_id": rows["series_id"], "node": rows["node"], "core": np.concatenate(out) if out else []})
+
+    any_large = large.limit(1).count() > 0
+    small = simple.join(large, "series_id", "left_anti") if any_large else simple
+    near = both_ways(small).groupBy("series_id", F.col("u").alias("node")).agg(F.collect_list("v").alias("near"))
+    cores = stream_groups(near, ["series_id"], "node", peel, f"series_id {kind}, node long, core long")
+    if any_large:
+        cores = cores.unionByName(_core_rounds(simple.join(large, "series_id", "left_semi")))
+    return nodes.select("series_id", "node").join(cores, ["series_id", "node"], "left").fillna(0, ["core"])
+
+
+def _core_rounds(simple: DataFrame) -> DataFrame:
+    e = cut_lineage(both_ways(simple))
+    core, path = written(e.groupBy("series_id", F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("core")))
+    while True:
         seen = e.join(core.select("series_id", F.col("node").alias("v"), F.col("core").alias("cv")), ["series_id", "v"])
         ranked = seen.withColumn("r", F.row_number().over(Window.partitionBy("series_id", "u").orderBy(F.desc("cv"))))
         h = ranked.groupBy("series_id", F.col("u").alias("node")).agg(F.max(F.least("r", "cv")).alias("h"))
-        new = cut_lineage(core.join(h, ["series_id", "node"], "left").select("series_id", "node", F.least("core", F.coalesce("h", F.lit(0))).cast("long").alias("core"), F.col("core").alias("old")))
-        changed = new.where("core <> old").limit(1).count()
-        core = new.drop("old")
-        if not changed:
-            break
-    return core
+        new, new_path = written(core.join(h, ["series_id", "node"]).select("series_id", "node", F.least("core", "h").cast("long").alias("core"), F.col("core").alias("old")))
+        discard(simple.sparkSession, path)
+        core, path = new.drop("old"), new_path
+        if not new.where("core <> old").limit(1).count():
+            return core
 
 
 def max_symmetrise(weighted: DataFrame) -> DataFrame:

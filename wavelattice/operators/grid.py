@@ -25,10 +25,11 @@ def regular_grid(
     Stages: (1) usable readings go to (source, time shard), re-deliveries collapse
     to the latest version, and each shard becomes one row: its steps with mean value
     and count.  A shard holds at most ``shard_steps`` steps, so the row is bounded.
-    (2) Each shard's summary is its first and last step; a scan over a source's shards
-    carries the first step of the next non-empty shard to each shard, so that gaps
-    across shards, empty shards included, have a known right end.  (3) Every shard is
-    filled on its own: each observed step emits itself and the gap up to its successor.
+    (2) Each shard's summary is its first step; only these summaries go to the whole source, where a
+    scan carries the first step of the next non-empty shard to each shard, so that gaps
+    across shards, empty shards included, have a known right end.  (3) The carries come back to
+    where the shards lie, and every shard is filled on its own: each observed step emits itself
+    and the gap up to its successor.
 
     Output: ``source string, step_start bigint`` (epoch seconds), ``value double,
     n_readings bigint, status string``: ``observed``; ``filled`` (linear between the
@@ -49,7 +50,8 @@ def regular_grid(
     shards = steps.groupBy("src", "shard").agg(F.array_sort(F.collect_list(F.struct("step", "v", "n"))).alias("own"))
     # The carry: the first step of the next non-empty shard of the source.
     order = Window.partitionBy("src").orderBy("shard")
-    carried = shards.withColumn("carry", F.lead(F.get("own", F.lit(0))).over(order))
+    carries = shards.select("src", "shard", F.get("own", F.lit(0)).alias("head")).select("src", "shard", F.lead("head").over(order).alias("carry"))
+    carried = shards.join(carries.repartition("src", "shard"), ["src", "shard"])
     spans = carried.select(
         "src",
         F.explode(

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 AGGREGATES = ("mean", "sum", "min", "max", "median", "first", "last")
 #: Bucket words beside Polars-like durations (1h, 15m, 1d, 1w).
@@ -83,14 +84,52 @@ def load_series(
     return out
 
 
-def number_points(df: DataFrame, series: str = "series_id", order: Sequence[str] = ("ts",), value: str = "value") -> DataFrame:
-    """``series_id, t bigint, value double``: finite values, numbered from 0 in order within their series."""
+def _place(c: Column, kind: T.DataType) -> Column | None:
+    """A number that never falls where ``c`` rises; None for types that have no such number."""
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp"))
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("long")
+    return c.cast("double") if isinstance(kind, (T.IntegralType, T.DecimalType)) else None
+
+
+def number_points(df: DataFrame, series: str = "series_id", order: Sequence[str] = ("ts",), value: str = "value", shard_rows: int = 100_000) -> DataFrame:
+    """``series_id, t bigint, value double``: finite values, numbered from 0 in order within their series.
+
+    Series of more than ``shard_rows`` values are cut into ranges of their first order column; a range
+    is numbered on its own and shifted by the number of values in the ranges before it, so that no
+    task holds a long series.  A first order column that is no time, date, integer or decimal leaves a series whole.
+    """
     clean = df.select(F.col(series).alias("series_id"), as_number(F.col(value)).alias("value"), *[F.col(o).alias(f"__o{i}") for i, o in enumerate(order)])
     clean = clean.where(F.col("series_id").isNotNull() & finite(F.col("value")))
-    by = Window.partitionBy("series_id").orderBy(*[f"__o{i}" for i in range(len(order))])
+    keys = [f"__o{i}" for i in range(len(order))]
+    place = _place(F.col("__o0"), clean.schema["__o0"].dataType)
+    if place is not None:
+        sizes = clean.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.min(place).cast("double").alias("lo"), F.max(place).cast("double").alias("hi"))
+        long = sizes.where(F.col("n") > shard_rows).select("series_id", "lo", ((F.col("hi") - F.col("lo")) / F.ceil(4 * F.col("n") / shard_rows)).alias("width"))
+        if long.limit(1).count():
+            return _number_by_range(clean, keys, place, long)
+    by = Window.partitionBy("series_id").orderBy(*keys)
     return clean.select("series_id", (F.row_number().over(by) - 1).cast("long").alias("t"), "value")
 
 
+def _number_by_range(clean: DataFrame, keys: Sequence[str], place: Column, long: DataFrame) -> DataFrame:
+    # Nulls come first in order, so they make the range before all others.
+    shard = F.when(place.isNull(), -1).when(F.col("width") > 0, F.floor((place - F.col("lo")) / F.col("width"))).otherwise(0)
+    rows = clean.join(long, "series_id", "left").withColumn("shard", shard.cast("long")).drop("lo", "width")
+    counts = rows.groupBy("series_id", "shard").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("series_id").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("series_id", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = F.row_number().over(Window.partitionBy("series_id", "shard").orderBy(*keys)) - 1
+    numbered = rows.select("series_id", "shard", "value", inside.alias("i"))
+    return numbered.join(offsets, ["series_id", "shard"]).select("series_id", (F.col("i") + F.col("offset")).cast("long").alias("t"), "value")
+
+
+def sizes_of(points: DataFrame) -> DataFrame:
+    """``series_id, __n``: points of each series, counted in the partitions before any exchange."""
+    return points.groupBy("series_id").agg(F.count(F.lit(1)).alias("__n"))
+
+
 def series_warnings(points: DataFrame) -> DataFrame:
     """Per series its size and the warnings of the input check: constant, short, long, extreme."""
     s = points.groupBy("series_id").agg(F.count(F.lit(1)).alias("n_points"), F.min("value").alias("lo"), F.max("value").alias("hi"))
@@ -106,11 +145,10 @@ def series_warnings(points: DataFrame) -> DataFrame:
 
 def keep_long(points: DataFrame, least: int, varying: bool = False) -> DataFrame:
     """Only series of at least ``least`` points, and not constant ones where ``varying``."""
-    whole = Window.partitionBy("series_id")
-    out = points.withColumn("__n", F.count(F.lit(1)).over(whole)).where(F.col("__n") >= least)
+    kept = points.groupBy("series_id").agg(F.count(F.lit(1)).alias("__n"), F.stddev_pop("value").alias("__sd")).where(F.col("__n") >= least)
     if varying:
-        out = out.withColumn("__sd", F.stddev_pop("value").over(whole)).where(F.col("__sd") > 0).drop("__sd")
-    return out.drop("__n")
+        kept = kept.where(F.col("__sd") > 0)
+    return points.join(kept.select("series_id"), "series_id", "left_semi")
 
 
 def top_series(points: DataFrame, n: int, least: int = 1) -> DataFrame:

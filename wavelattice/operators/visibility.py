@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavelattice.operators.grouped import stream_groups
+from wavelattice.operators.series import sizes_of
 
 TIE_RULES = ("stack", "strict", "loose")
 WEIGHTS = ("absdiff", "time_gap", "slope", "min_clearance", "inv_dist", "distance", "product", "mean")
@@ -130,8 +131,7 @@ def nvg_edges(
     if limit is not None and limit > 0:
         reach, sized = F.lit(limit), points
     else:
-        n = F.count(F.lit(1)).over(Window.partitionBy("series_id"))
-        sized = points.withColumn("__n", n)
+        sized = points.join(sizes_of(points), "series_id")
         reach = F.when(F.col("__n") > long_series, F.lit(long_limit)).otherwise(F.col("__n"))
     sized = sized.select("series_id", "t", "value", reach.cast("long").alias("reach"))
     shard = F.floor(F.col("t") / F.lit(shard_points)).cast("long")

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavelattice.operators.series import sizes_of
+
 COARSE = ("mean", "median", "max", "min", "std")
 
 
@@ -18,10 +20,9 @@ def sliding_windows(points: DataFrame, width: int, by: int = 1) -> DataFrame:
     """
     if width < 1 or by < 1:
         raise ValueError("width and by must be positive")
-    n = F.count(F.lit(1)).over(Window.partitionBy("series_id"))
     first = F.greatest(F.lit(0), F.ceil((F.col("t") - (width - 1)) / F.lit(by))).cast("long")
     last = F.least(F.floor(F.col("t") / F.lit(by)), F.floor((F.col("__n") - width) / F.lit(by))).cast("long")
-    sized = points.withColumn("__n", n).where(F.col("__n") >= width).withColumn("__a", first).withColumn("__b", last).where("__a <= __b")
+    sized = points.join(sizes_of(points), "series_id").where(F.col("__n") >= width).withColumn("__a", first).withColumn("__b", last).where("__a <= __b")
     out = sized.select("series_id", "t", "value", F.explode(F.sequence("__a", "__b")).alias("window_id"))
     return out.select("series_id", "window_id", (F.col("t") - F.col("window_id") * by).alias("pos"), "t", "value")
 
@@ -57,7 +58,7 @@ def coarse_grain(points: DataFrame, scale: int, method: str = "mean") -> DataFra
     if method not in COARSE:
         raise ValueError(f"method must be one of {COARSE}")
     made = {"mean": F.avg("value"), "median": F.percentile("value", F.lit(0.5)), "max": F.max("value"), "min": F.min("value"), "std": F.stddev_samp("value")}
-    sized = points.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("series_id"))).where(F.col("__n") > scale)
+    sized = points.join(sizes_of(points), "series_id").where(F.col("__n") > scale)
     full = sized.where(F.col("t") < F.floor(F.col("__n") / scale) * scale)
     return full.groupBy("series_id", F.floor(F.col("t") / scale).cast("long").alias("t")).agg(made[method].alias("value"))
 

@@ -53,10 +53,11 @@ pge as (select b.series_id, max(a.t) as src, b.t as dst from pts a join pts b on
 e as (select * from nsg union all select * from pge)"""
 
 
-def nvg(limit: int, strict: bool = False) -> str:
-    op = ">" if strict else ">="
+def nvg(limit: int | None = None, strict: bool = False) -> str:
+    """Natural visibility of all pairs of a series, or of those at most ``limit`` points apart."""
+    op, near = ">" if strict else ">=", "" if limit is None else f" and b.t <= a.t + {limit}"
     return f"""sl as (select a.series_id, a.t as src, b.t as dst, (b.x - a.x) / cast(b.t - a.t as double) as s
-  from pts a join pts b on a.series_id = b.series_id and b.t between a.t + 1 and a.t + {limit}),
+  from pts a join pts b on a.series_id = b.series_id and b.t > a.t{near}),
 e as (select series_id, src, dst from (select *, max(s) over (partition by series_id, src order by dst rows between unbounded preceding and 1 preceding) as m from sl) where m is null or s {op} m)"""
 
 

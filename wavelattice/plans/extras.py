@@ -174,10 +174,11 @@ ORACLES = {
       far as (select series_id, a, node, min(k) as k from walk group by 1, 2, 3) select series_id, {r('avg(k)')} as mean_path from far where a <> node group by 1""",
     "r14_recurrence_cells": f"{_P} select a.series_id, a.t as i, b.t as j from pts a join pts b on a.series_id = b.series_id and a.t <> b.t and abs(a.x - b.x) <= 1.0",
     "z1_series_with_events": f"{_P}, l as (select series_id, quantile_cont(x, 0.5) + stddev_pop(x) as l from pts group by 1) select p.series_id, p.t, p.x as value, p.x > l.l as is_event from pts p join l using (series_id)",
-    "z2_degree_profile": f"{_P}, {nvg(20)}, {DEGREES} select series_id, node, degree, {r('avg(degree) over (partition by series_id)')} as mean_degree from deg",
+    "z2_degree_profile": f"{_P}, {nvg()}, {DEGREES} select series_id, node, degree, {r('avg(degree) over (partition by series_id)')} as mean_degree from deg",
     "d14_nmi_32": f"{_codes(32)} select i, j, {r('1 - 2 * (hx + hy - hj) / (hx + hy)')} as dist from hh",
     "d15_voi_32": f"{_codes(32)} select i, j, {r('2 * hj - hx - hy')} as dist from hh",
-    "d1_correlation_users": f"""{_P}, l as (select * from pts where t < 40 and series_id in (select series_id from pts group by 1 having count(*) >= 40))
+    "d1_correlation_users": f"""with l as (select user_id as series_id, date_trunc('day', ts) as t, round(avg(value), 6) as x from events
+      where user_id is not null and ts is not null and value is not null and not isnan(value) and abs(value) < 'infinity'::double group by 1, 2)
       select a.series_id as i, b.series_id as j, {r('1 - abs(corr(a.x, b.x))', 6)} as dist from l a join l b on a.t = b.t and a.series_id < b.series_id group by 1, 2""",
     "s9_pandas_adapter": "select * from (values ('a', cast(0 as bigint), 3.0::double), ('b', cast(0 as bigint), 4.0::double), ('b', cast(1 as bigint), 1.0::double)) v(series_id, t, value)",
 }

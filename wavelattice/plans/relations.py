@@ -343,7 +343,7 @@ ORACLES = {
       k as (select sz.a, sz.b, cast(n1 * n1 as double) as n, cast(coalesce(c1.c, 0) as double) as c1, cast(coalesce(c2.c, 0) as double) as c2, cast(coalesce(c12.c, 0) as double) as c12 from sz left join c1 using (a, b) left join c2 using (a, b) left join c12 using (a, b))
       select a, b, {r('c12 / n')} as joint_rate, {r('case when c1 * c2 > 0 then (c12 / n) / ((c1 / n) * (c2 / n)) else 0.0 end')} as coupling,
       {r('case when c1 * (n - c1) * c2 * (n - c2) > 0 then (n * c12 - c1 * c2) / sqrt(c1 * (n - c1) * c2 * (n - c2)) else 0.0 end')} as synchronisation, {r('abs(c1 / n - c2 / n)')} as asymmetry from k""",
-    "x5_compare_networks": f"""with {POINTS}, {HVG.replace(chr(10) + 'e as (', chr(10) + 'eh as (')}, {nvg(20)}, dh as (select p.series_id, p.t, count(k.v) as d from pts p left join (select series_id, src as v from eh union all select series_id, dst from eh) k on k.series_id = p.series_id and k.v = p.t group by 1, 2),
+    "x5_compare_networks": f"""with {POINTS}, {HVG.replace(chr(10) + 'e as (', chr(10) + 'eh as (')}, {nvg()}, dh as (select p.series_id, p.t, count(k.v) as d from pts p left join (select series_id, src as v from eh union all select series_id, dst from eh) k on k.series_id = p.series_id and k.v = p.t group by 1, 2),
       dn as (select p.series_id, p.t, count(k.v) as d from pts p left join (select series_id, src as v from e union all select series_id, dst from e) k on k.series_id = p.series_id and k.v = p.t group by 1, 2),
       c as (select dh.series_id, coalesce(corr(dh.d, dn.d), 0) as c, count(*) as n from dh join dn on dh.series_id = dn.series_id and dh.t = dn.t group by 1),
       f as (select coalesce(eh.series_id, e.series_id) as series_id, count(case when eh.src is not null and e.src is not null then 1 end) as k, count(*) as u, count(eh.src) as m1, count(e.src) as m2 from eh full join e on eh.series_id = e.series_id and eh.src = e.src and eh.dst = e.dst group by 1)
@@ -373,6 +373,6 @@ ORACLES = {
       k as (select *, count(*) over (order by p range between unbounded preceding and current row) as k, count(*) over () as m from p) select a, b, p, p <= coalesce((select max(p) from k where p <= 0.6 * k / m), -1) as reject from p""",
     "q12_zscores": f"""with {POINTS}, n as (select series_id, avg(x) as m, stddev_samp(x) as s from pts where t > 0 group by 1) select p.series_id, {r('(p.x - n.m) / greatest(n.s, 1e-12)')} as z, {r('n.m')} as null_mean, {r('n.s')} as null_std from pts p join n using (series_id) where p.t = 0""",
     "z3_degree_ccdf": f"{_HD}, c as (select series_id, degree, count(*) as n from deg group by 1, 2) select series_id, degree, {r('1 - sum(n) over (partition by series_id order by degree) / cast(sum(n) over (partition by series_id) as double)')} as ccdf from c",
-    "z4_method_comparison": f"""with {POINTS}, {HVG.replace(chr(10) + 'e as (', chr(10) + 'eh as (')}, {nvg(20)}, m as (select 'hvg' as method, * from eh union all select 'nvg', * from e), n as (select series_id, count(*) as n from pts group by 1)
+    "z4_method_comparison": f"""with {POINTS}, {HVG.replace(chr(10) + 'e as (', chr(10) + 'eh as (')}, {nvg()}, m as (select 'hvg' as method, * from eh union all select 'nvg', * from e), n as (select series_id, count(*) as n from pts group by 1)
       select m.series_id, m.method, count(*) as n_edges, {r('2.0 * count(*) / any_value(n.n)')} as avg_degree, {r('count(*) / (any_value(n.n) * (any_value(n.n) - 1) / 2.0)')} as density from m join n using (series_id) group by 1, 2""",
 }

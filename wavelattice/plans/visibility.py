@@ -11,7 +11,7 @@ from wavelattice.operators.series import number_points
 from wavelattice.plans.common import DEGREES, HVG, ORDERS, POINTS, SUMMARY, nvg, order_days, r, rounded, user_points
 from wavelattice.session import read_table
 
-#: Horizon of ``v9_nvg_limited_edges`` and of the SQL; the other queries on users' series have none.
+#: Horizon of ``v9_nvg_limited_edges``; the other queries on users' series have none.
 LIMIT = 20
 
 
@@ -55,6 +55,12 @@ def v13_nvg_long_stats(spark, d):
     return rounded(graph.summary(graph.nodes_of(p), nvg_edges(p, 300)))
 
 
+def v13_nvg_default_stats(spark, d):
+    """The same series with the default horizon of series of more than 10,000 points."""
+    p = _line(spark, d)
+    return rounded(graph.summary(graph.nodes_of(p), nvg_edges(p)))
+
+
 def v2_hvg_loose_edges(spark, d):
     return _hvg(spark, d, tie_rule="loose")[1]
 
@@ -77,7 +83,7 @@ def v8_nvg_edges(spark, d):
 
 
 def v8_nvg_edges_long(spark, d):
-    return nvg_edges(order_days(spark, d), limit=50, shard_points=400)
+    return nvg_edges(order_days(spark, d), shard_points=400)
 
 
 def v9_nvg_limited_edges(spark, d):
@@ -246,7 +252,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         v1_hvg_stats, v1_hvg_edges, v1_hvg_edges_long, v2_hvg_loose_edges, v6_hvg_strict_edges, v5_hvg_limited_edges, v7_hvg_directed_degrees,
-        v3_hvg_long_stats, v13_nvg_long_stats, v8_nvg_edges, v8_nvg_edges_long, v9_nvg_limited_edges, v10_nvg_strict_edges, v11_nvg_stats, v12_nvg_capped_edges, v18_nvg_slopes,
+        v3_hvg_long_stats, v13_nvg_long_stats, v13_nvg_default_stats, v8_nvg_edges, v8_nvg_edges_long, v9_nvg_limited_edges, v10_nvg_strict_edges, v11_nvg_stats, v12_nvg_capped_edges, v18_nvg_slopes,
         a1_degrees, a4_directed_stats, a5_weight_stats, a6_triangles, a7_graph_summary, a8_small_world, a9_motif_summary, a12_assortativity,
         g1_clustering, g4_node_triangles, g5_path_lengths, g7_components, g7_giant_component, g8_communities, g8_modularity,
         g11_node_features, g11_pagerank, g12_node_roles, g14_motifs3, g15_motifs4, g17_core_numbers, u3_mutual_edges,
@@ -254,7 +260,7 @@ QUERIES = {
 } | {k: _weighted(mode) for k, (mode, _) in WEIGHT_KEYS.items()} | {"v17_weight_min_clearance": _weighted("min_clearance")}
 
 _E_HVG = f"with {POINTS}, {HVG}"
-_E_NVG = f"with {POINTS}, {nvg(LIMIT)}"
+_E_NVG = f"with {POINTS}, {nvg()}"
 _BETWEEN = "(select max(m.x) from pts m where m.series_id = a.series_id and m.t > a.t and m.t < b.t)"
 
 
@@ -288,9 +294,9 @@ ORACLES = {
     "v5_hvg_limited_edges": f"{_E_HVG} select * from e where dst - src <= 5",
     "v7_hvg_directed_degrees": f"{_E_HVG}, {DEGREES} select series_id, node, in_degree, out_degree from deg",
     "v8_nvg_edges": f"{_E_NVG} select * from e",
-    "v8_nvg_edges_long": f"with {ORDERS}, {nvg(50)} select * from e",
-    "v9_nvg_limited_edges": f"{_E_NVG} select * from e",
-    "v10_nvg_strict_edges": f"with {POINTS}, {nvg(LIMIT, True)} select * from e",
+    "v8_nvg_edges_long": f"with {ORDERS}, {nvg()} select * from e",
+    "v9_nvg_limited_edges": f"with {POINTS}, {nvg(LIMIT)} select * from e",
+    "v10_nvg_strict_edges": f"with {POINTS}, {nvg(strict=True)} select * from e",
     "v11_nvg_stats": f"{_E_NVG}, {DEGREES} {SUMMARY}",
     "v12_nvg_capped_edges": f"""{_E_NVG}, f as (select *, row_number() over (partition by series_id, src order by dst) as k from e)
       select series_id, src, dst from (select *, row_number() over (partition by series_id order by src, dst) as i from f where k <= 3) where i <= 60""",
@@ -324,6 +330,13 @@ ORACLES = {
       select x.series_id, x.n_nodes, x.avg_path, y.diameter, y.radius, y.std_eccentricity from
       (select series_id, cast(count(distinct a) as bigint) as n_nodes, {r('avg(case when a <> node then k end)')} as avg_path from dist group by 1) x join
       (select series_id, cast(max(ecc) as bigint) as diameter, cast(min(ecc) as bigint) as radius, {r('stddev_pop(ecc)')} as std_eccentricity from ecc group by 1) y on x.series_id = y.series_id""",
+    "g17_core_numbers": f"""with recursive {POINTS}, {nvg()}, {DEGREES}, w as (select series_id, src as u, dst as v from e union all select series_id, dst, src from e),
+      step(k, series_id, node, core, moved) as (select 0, series_id, node, degree, true from deg union all
+        select k + 1, series_id, node, coalesce(h, 0), bool_or(coalesce(h, 0) < core) over () from
+          (select p.k, p.series_id, p.node, p.core, max(least(q.core, q.r)) as h from step p left join
+            (select w.series_id, w.u, s.core, row_number() over (partition by w.series_id, w.u order by s.core desc) as r from w join step s on s.series_id = w.series_id and s.node = w.v) q
+            on q.series_id = p.series_id and q.u = p.node where p.moved group by all))
+      select series_id, node, core from step where k = (select max(k) from step)""",
     "g7_components": f"with recursive {POINTS}, {HVG}, {_COMPONENTS} select * from comp",
     "g7_giant_component": f"""with recursive {POINTS}, {HVG}, {_COMPONENTS}, z as (select series_id, component, count(*) as n from comp group by 1, 2),
       b as (select * from z qualify row_number() over (partition by series_id order by n desc, component) = 1)
@@ -331,7 +344,7 @@ ORACLES = {
     "g8_modularity": f"""{_E_NVG}, {DEGREES}, m as (select series_id, cast(count(*) as double) as m from e group by 1),
       l as (select series_id, src // 10 as c, count(*) as l from e where src // 10 = dst // 10 group by 1, 2), k as (select series_id, node // 10 as c, sum(degree) as k from deg group by 1, 2)
       select k.series_id, {r('sum(coalesce(l.l, 0) / m.m - (k.k / (2 * m.m)) * (k.k / (2 * m.m)))')} as modularity from k join m on m.series_id = k.series_id left join l on l.series_id = k.series_id and l.c = k.c group by 1""",
-    "u3_mutual_edges": f"""with {POINTS}, near as (select a.series_id, a.t as src, b.t as dst, abs(a.x - b.x) as w from pts a join pts b on a.series_id = b.series_id and a.t <> b.t
+    "u3_mutual_edges": f"""with {POINTS}, near as materialized (select a.series_id, a.t as src, b.t as dst, abs(a.x - b.x) as w from pts a join pts b on a.series_id = b.series_id and a.t <> b.t
       qualify row_number() over (partition by a.series_id, a.t order by abs(a.x - b.x), b.t) <= 3)
       select p.series_id, p.src, p.dst, {r('p.w')} as weight from near p join near q on q.series_id = p.series_id and q.src = p.dst and q.dst = p.src where p.src < p.dst""",
 } | {

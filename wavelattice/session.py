@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,3 +33,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder and read back from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared checkpoint folder, and that table's path.
+
+    For loops: unlike a checkpoint, the table has the size of its files, where the estimated size of a checkpoint
+    multiplies with every join that led to it until planning fails.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table that ``written`` made, once nothing reads it any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(conf).delete(place, True)

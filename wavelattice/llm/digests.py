@@ -95,34 +95,40 @@ def _recluster(df: DataFrame, by: Sequence[str], delta: float) -> DataFrame:
     return merged.select(*by, "mean", F.col("w").alias("weight"), "low", "high")
 
 
-def merge_digests(digests: DataFrame, keys: Sequence[str], part: str | None = None, delta: float = 200.0, fan_in: int = 64) -> DataFrame:
+def merge_digests(digests: DataFrame, keys: Sequence[str], part: str | None = None, delta: float = 200.0, fan_in: int = 64, levels: int = 3) -> DataFrame:
     """One digest per key out of many, by re-clustering: digests of days, files or partitions combine alike.
 
-    With ``part`` (the place a digest comes from) groups of ``fan_in`` places are merged first, so that no
-    task gets more than about ``places / fan_in`` or ``fan_in`` digests of a key, hot or not.
+    With ``part`` (the place a digest comes from) they are merged in a tree: groups of at most ``fan_in`` neighbours
+    of one level make one digest of the next, so that no task gets more than ``fan_in`` digests of
+    a key, hot or not, up to ``fan_in ** levels`` places.
     """
-    out = digests.select(*keys, *([F.pmod(F.col(part), F.lit(fan_in)).alias("salt")] if part else []), *DIGEST_COLUMNS)
+    out = digests.select(*keys, *([F.col(part).cast("long").alias("place")] if part else []), *DIGEST_COLUMNS)
     if part:
-        out = _recluster(out, [*keys, "salt"], delta)
+        for level in range(levels - 1, 0, -1):
+            out = _recluster(out.withColumn("place", F.pmod("place", F.lit(fan_in**level))), [*keys, "place"], delta)
     return _recluster(out.select(*keys, *DIGEST_COLUMNS), list(keys), delta)
 
 
 def quantiles(digests: DataFrame, keys: Sequence[str], qs: Sequence[float]) -> DataFrame:
     """``keys, n bigint, q double, estimate double``: percentiles interpolated between centroid middles.
 
-    Below the first and above the last middle the ends are the exact minimum and maximum.
+    Where the rank that is asked for falls on a centroid of one value, that value is the answer, so groups
+    that fit into centroids of their own are exact.  Below the first and above the last middle the ends
+    are the exact minimum and maximum.
     """
     c = F.array_sort(F.collect_list(F.struct("mean", "weight", "low", "high")))
     packed = digests.groupBy(*keys).agg(c.alias("c"), F.sum("weight").alias("n"), F.min("low").alias("lo"), F.max("high").alias("hi"))
-    # Points (cumulated weight, value): the minimum, each centroid at the middle of its weight, the maximum.
-    def point(r: Column, v: Column) -> Column:
-        return F.array(F.named_struct(F.lit("r"), r, F.lit("v"), v))
 
+    # Points (cumulated weight, value, weight before, single value): the minimum, each centroid at the middle of its weight, the maximum.
+    def point(r: Column, v: Column, before: Column, sure: Column) -> Column:
+        return F.array(F.named_struct(F.lit("r"), r, F.lit("v"), v, F.lit("before"), before, F.lit("sure"), sure))
+
+    never = F.lit(False)
     running = F.aggregate(
         "c",
-        F.named_struct(F.lit("w"), F.lit(0.0), F.lit("p"), point(F.lit(0.0), F.col("lo"))),
-        lambda a, x: F.named_struct(F.lit("w"), a["w"] + x["weight"], F.lit("p"), F.concat(a["p"], point(a["w"] + x["weight"] / 2, x["mean"]))),
-        lambda a: F.concat(a["p"], point(a["w"], F.col("hi"))),
+        F.named_struct(F.lit("w"), F.lit(0.0), F.lit("p"), point(F.lit(0.0), F.col("lo"), F.lit(0.0), never)),
+        lambda a, x: F.named_struct(F.lit("w"), a["w"] + x["weight"], F.lit("p"), F.concat(a["p"], point(a["w"] + x["weight"] / 2, x["mean"], a["w"], x["low"] == x["high"]))),
+        lambda a: F.concat(a["p"], point(a["w"], F.col("hi"), a["w"], never)),
     )
     points = packed.select(*keys, "n", running.alias("p"), F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
     target = F.col("q") * F.col("n")
@@ -130,28 +136,32 @@ def quantiles(digests: DataFrame, keys: Sequence[str], qs: Sequence[float]) -> D
     right = F.get(F.filter("p", lambda x: x["r"] > target), F.lit(0))
     placed = points.withColumn("a", left).withColumn("b", right)
     share = (target - F.col("a.r")) / (F.col("b.r") - F.col("a.r"))
-    return placed.select(*keys, "n", "q", F.when(F.col("b").isNull(), F.col("a.v")).otherwise(F.when(F.col("a.v") == F.col("b.v"), F.col("a.v")).otherwise(F.col("a.v") + (F.col("b.v") - F.col("a.v")) * share)).alias("estimate"))
+    # The rank lies in the left centroid up to where the right one's weight begins.
+    within = F.when(target < F.col("b.before"), F.col("a")).otherwise(F.col("b"))
+    between = F.when(F.col("a.v") == F.col("b.v"), F.col("a.v")).otherwise(F.col("a.v") + (F.col("b.v") - F.col("a.v")) * share)
+    return placed.select(*keys, "n", "q", F.when(F.col("b").isNull(), F.col("a.v")).when(within["sure"], within["v"]).otherwise(between).alias("estimate"))
 
 
-def certify(df: DataFrame, keys: Sequence[str], value: str, estimates: DataFrame, broadcast_rows: int = 100_000, salts: int = 32) -> DataFrame:
+def certify(df: DataFrame, keys: Sequence[str], value: str, estimates: DataFrame, broadcast_bytes: int = 32_000_000, salts: int = 32) -> DataFrame:
     """Second counting pass: ``keys, n, q, estimate, below, upto, rank_error`` for every estimate.
 
     ``below`` and ``upto`` count the values smaller than, and not larger than, the estimate; the
     certified ``rank_error`` is the distance of q from the interval [below/n, upto/n].  Counts are
     summed in the scan's partitions before any exchange.  The estimates go to all tasks when
-    there are at most ``broadcast_rows`` groups; beyond, both sides are joined by key and salt,
+    they take at most ``broadcast_bytes``; beyond, both sides are joined by key and salt,
     which splits hot keys over ``salts`` tasks.
     """
     names = [f"k{i}" for i in range(len(keys))]
     rows = _finite(df, keys, value)
     held = cut_lineage(estimates.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], "n", "q", "estimate"))
     grouped = held.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("q", "estimate"))).alias("e"))
-    if grouped.count() <= broadcast_rows:
+    width = max(1, held.agg(F.count_distinct("q")).first()[0])
+    size = grouped.agg(F.count(F.lit(1)), F.sum(sum((F.length(F.col(k).cast("string")) for k in names), F.lit(0)))).first()
+    if size[0] * (64 + 24 * width) + (size[1] or 0) <= broadcast_bytes:
         joined = rows.join(F.broadcast(grouped), names)
     else:
         salted = grouped.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).join(salted, [*names, "salt"])
-    width = max(1, held.agg(F.count_distinct("q")).first()[0])
     counts = []
     for i in range(width):
         e = F.get("e", F.lit(i))["estimate"]
@@ -167,14 +177,39 @@ def certify(df: DataFrame, keys: Sequence[str], value: str, estimates: DataFrame
     return out.select(*[F.col(a).alias(k) for a, k in zip(names, keys)], "n", "q", "estimate", "below", "upto", error.alias("rank_error"))
 
 
-def grouped_percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float] = (0.01, 0.25, 0.5, 0.75, 0.99), delta: float = 200.0) -> DataFrame:
-    """Certified percentiles per group: partial digests, merging, interpolation, counting pass.
+def error_bound(delta: float, levels: int = 3) -> float:
+    """The stated bound on the rank error: half a cluster in the middle, pi / (2 delta), for the first digest and for every merge."""
+    return (levels + 1) * math.pi / (2 * delta)
+
 
-    The a-priori bound on the rank error of a single digest is pi / delta in the middle and falls towards
-    the tails; the returned ``rank_error`` is what the counting pass proves.  Null keys and null, NaN
-    or infinite values are left out; a group without values has no rows; empty input gives none.
+def refined(df: DataFrame, keys: Sequence[str], value: str, certified: DataFrame, qs: Sequence[float], bound: float, delta: float, rounds: int = 4) -> DataFrame:
+    """``certified`` with the groups that break ``bound`` done again, each round with digests four times as fine.
+
+    What the last round leaves keeps its proven ``rank_error``, whatever it is.
     """
+    for i in range(1, rounds + 1):
+        certified = cut_lineage(certified)
+        bad = certified.where(F.col("rank_error") > bound).select(*keys).distinct()
+        if not bad.limit(1).count():
+            return certified
+        again = _estimates(df.join(bad, list(keys), "left_semi"), keys, value, qs, delta * 4**i)
+        certified = certified.join(bad, list(keys), "left_anti").unionByName(certify(df, keys, value, again))
+    return certified
+
+
+def _estimates(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], delta: float) -> DataFrame:
     names = [f"k{i}" for i in range(len(keys))]
     merged = merge_digests(partial_digests(df, keys, value, delta), names, "part", delta)
-    found = quantiles(merged, names, qs).select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "n", "q", "estimate")
-    return certify(df, keys, value, found)
+    return quantiles(merged, names, qs).select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "n", "q", "estimate")
+
+
+def grouped_percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float] = (0.01, 0.25, 0.5, 0.75, 0.99), delta: float = 200.0) -> DataFrame:
+    """Certified percentiles per group: partial digests, merging, interpolation, counting pass.
+
+    ``keys, n, q, estimate, below, upto, rank_error, bound``: ``bound`` is ``error_bound(delta)``, the returned ``rank_error`` is
+    what the counting pass proves, and a group that breaks the bound is done again with finer digests.
+    Null keys and null, NaN or infinite values are left out; a group without values has no rows; empty input gives none.
+    """
+    bound = error_bound(delta)
+    certified = certify(df, keys, value, _estimates(df, keys, value, qs, delta))
+    return refined(df, keys, value, certified, qs, bound, delta).withColumn("bound", F.lit(bound))

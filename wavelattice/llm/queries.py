@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelattice.llm.digests import certify, grouped_percentiles, merge_digests, partial_digests, quantiles
+from wavelattice.llm.digests import certify, error_bound, grouped_percentiles, merge_digests, partial_digests, quantiles
 from wavelattice.llm.leaks import find_leaks
 from wavelattice.llm.packing import fill_report, pack_documents
 from wavelattice.llm.reading import english_label, reading_bands, reading_measures
@@ -16,16 +16,13 @@ QS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 def p1_meter_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Certified percentiles of consumption_kwh per meter."""
-    out = grouped_percentiles(read_table(spark, d, "spain_smart_meter_data"), ["meter_id"], "consumption_kwh", QS)
-    return out.select("meter_id", "n", "q", "estimate", "below", "upto", "rank_error")
+    return grouped_percentiles(read_table(spark, d, "spain_smart_meter_data"), ["meter_id"], "consumption_kwh", QS)
 
 
 def p1_meter_day_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Certified percentiles per meter and day of timestamp from the digests of the days."""
+    """Certified percentiles per meter and day of timestamp."""
     days = read_table(spark, d, "spain_smart_meter_data").withColumn("day", F.to_date("timestamp"))
-    digests = merge_digests(partial_digests(days, ["meter_id", "day"], "consumption_kwh"), ["k0", "k1"], "part")
-    found = quantiles(digests, ["k0", "k1"], QS).select(F.col("k0").alias("meter_id"), F.col("k1").alias("day"), "n", "q", "estimate")
-    return certify(days, ["meter_id", "day"], "consumption_kwh", found)
+    return grouped_percentiles(days, ["meter_id", "day"], "consumption_kwh", QS)
 
 
 def p1_from_days(spark: SparkSession, d: str) -> DataFrame:
@@ -34,7 +31,7 @@ def p1_from_days(spark: SparkSession, d: str) -> DataFrame:
     days = merge_digests(partial_digests(rows.withColumn("day", F.to_date("timestamp")), ["meter_id", "day"], "consumption_kwh"), ["k0", "k1"], "part")
     merged = merge_digests(days.withColumn("part", F.unix_date("k1")), ["k0"], "part")
     found = quantiles(merged, ["k0"], QS).withColumnRenamed("k0", "meter_id")
-    return certify(rows, ["meter_id"], "consumption_kwh", found)
+    return certify(rows, ["meter_id"], "consumption_kwh", found).withColumn("bound", F.lit(error_bound(200.0, 6)))
 
 
 def p7_packed(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,6 @@
 import json
 
-from wavelattice.operators.nested import areas_table, flatten_records, observations_table, revisions_table, series_table
+from wavelattice.operators.nested import areas_table, flatten_records, further_table, observations_table, revisions_table, series_table
 
 RECORDS = [
     (1, json.dumps({"series_id": "A", "data": [["2001", 1.5], [], None, {"period": "2002", "value": "x", "revisions": [None, {"on": "2003-01-01", "value": 2}]}, ["", 3], [2004, None]], "geography": ["X", None, {"code": "Y", "share": 0.5}, ""],
@@ -35,3 +35,32 @@ def test_deep_and_long(spark):
     n = flatten_records(df, "record_id", "record")
     assert series_table(n).count() == 302 and observations_table(n).count() == 20_000
     assert flatten_records(df.limit(0), "record_id", "record").count() == 0
+
+
+def test_nothing_is_lost(spark):
+    record = {
+        "series_id": "A", "name": "n", "updated": "2024", "description": {"en": "text"}, "notes": [{"by": "x", "tags": [["a", 1], ["b", 2]]}, 7],
+        "data": [["2001", 1, "p", {"q": 2}], {"period": "2002", "value": 3, "unit": "MW", "revisions": [{"on": "d", "value": 4, "why": "typo"}]}, {"value": 9}, 5],
+        "geography": {"code": "Z", "share": "most", "label": "Zed"}, "children": [{"series_id": "B", "extra": True}],
+    }
+    df = spark.createDataFrame([(1, json.dumps({"request": {"id": 3}, "series": [record]}))], "record_id long, record string")
+    rows = {tuple(r.dewey): r for r in flatten_records(df, "record_id", "record").collect()}
+    for label, r in rows.items():  # every parent is there, by truncation
+        assert r.parent == (list(label[:-2]) if len(label) > 2 else None) and (len(label) < 3 or label[:-2] in rows)
+    extra = {r.path + str(r.pos): json.loads(r.extra) for r in rows.values() if r.extra}
+    assert extra["$0"] == {"request": {"id": 3}}
+    assert extra["$.series[]0"] == {"updated": "2024", "description": {"en": "text"}}
+    assert extra["$.series[].notes[]0"] == {"by": "x"} and extra["$.series[].notes[]1"] == 7
+    assert extra["$.series[].notes[].tags[]0"] == ["a", 1] and extra["$.series[].notes[].tags[]1"] == ["b", 2]
+    assert extra["$.series[].data[]0"] == {"2": "p", "3": {"q": 2}} and extra["$.series[].data[]1"] == {"unit": "MW"}
+    assert extra["$.series[].data[]2"] == {"value": 9} and extra["$.series[].data[]3"] == 5
+    assert extra["$.series[].data[].revisions[]1"] == {"why": "typo"}
+    assert extra["$.series[].geography[]0"] == {"share": "most", "label": "Zed"} and extra["$.series[].children[]0"] == {"extra": True}
+    assert further_table(flatten_records(df, "record_id", "record")).count() == 7
+
+
+def test_numbers_are_strict(spark):
+    values = ["1_000", "nan", "inf", "1e3", " 2.5 ", "-.5", True, "0x10", 1e400, None]
+    df = spark.createDataFrame([(1, json.dumps({"series_id": "A", "data": [[str(i), v] for i, v in enumerate(values) if v != 1e400]}))], "record_id long, record string")
+    got = {r.period: r.value for r in observations_table(flatten_records(df, "record_id", "record")).collect()}
+    assert got == {"0": None, "1": None, "2": None, "3": 1000.0, "4": 2.5, "5": -0.5, "6": None, "7": None, "9": None}

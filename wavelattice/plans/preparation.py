@@ -92,7 +92,7 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Every child of every series with the series that holds it."""
-    child = F.when(F.col("table_name") == "series", F.size("dewey") > 1).otherwise(F.lit(True))
+    child = F.when(F.col("table_name") == "series", F.size("dewey") > 1).otherwise(F.col("table_name").isNotNull())
     return _nodes(spark, d).where(child).select("record_id", F.coalesce("series_id", F.lit("")).alias("series_id"), F.col("table_name").alias("child_kind"), F.col("pos").alias("child_pos"), F.col("key").alias("child_key"))
 
 
@@ -100,27 +100,38 @@ def _path(c: str) -> Column:
     return F.array_join(F.transform(c, lambda x: x.cast("string")), ".").alias(c)
 
 
+def _table(nodes: DataFrame) -> DataFrame:
+    """A flat table with printed labels; what has no column of its own is left to ``p6_further``."""
+    return nodes.withColumns({"dewey": _path("dewey"), "parent": _path("parent")}).drop("extra_json")
+
+
 def p6_series(spark: SparkSession, d: str) -> DataFrame:
-    return series_table(_nodes(spark, d)).withColumns({"dewey": _path("dewey"), "parent": _path("parent")})
+    return _table(series_table(_nodes(spark, d)))
 
 
 def p6_observations(spark: SparkSession, d: str) -> DataFrame:
-    return observations_table(_nodes(spark, d)).withColumns({"dewey": _path("dewey"), "parent": _path("parent")})
+    return _table(observations_table(_nodes(spark, d))).withColumn("value_text", F.when(F.col("value").isNull(), F.col("value_text")))
 
 
 def p6_revisions(spark: SparkSession, d: str) -> DataFrame:
-    return revisions_table(_nodes(spark, d)).withColumns({"dewey": _path("dewey"), "parent": _path("parent")})
+    return _table(revisions_table(_nodes(spark, d))).withColumn("value_text", F.when(F.col("value").isNull(), F.col("value_text")))
 
 
 def p6_areas(spark: SparkSession, d: str) -> DataFrame:
-    return areas_table(_nodes(spark, d)).withColumns({"dewey": _path("dewey"), "parent": _path("parent")})
+    return _table(areas_table(_nodes(spark, d)))
+
+
+def p6_further(spark: SparkSession, d: str) -> DataFrame:
+    """Members without a column of their own, of all nodes."""
+    n = _nodes(spark, d).where("extra is not null")
+    return n.select("record_id", _path("dewey"), _path("parent"), "path", F.coalesce("table_name", F.lit("other")).alias("table_name"), "extra")
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         p2_found, p2_hourly_grid, p3_found, p3_reasons, p4_found, p4_zone_estimates, p5_found, p5_rolling_totals,
-        p6_found, p6_series, p6_observations, p6_revisions, p6_areas,
+        p6_found, p6_series, p6_observations, p6_revisions, p6_areas, p6_further,
     )
 }
 
@@ -138,6 +149,34 @@ spans as (
 cells as (
   select meter_id, h, v, n, h2, v2, unnest(range(h, coalesce(h2, h + 1))) c from spans)"""
 
+_ELEC = """with recursive valid as (select record_id, cast(record as json) as j from elec where record_id is not null and record is not null and json_valid(record)),
+tops as (select record_id, unnest(a) as s, unnest(range(0, len(a))) as i from (select record_id, case when json_type(j) = 'OBJECT' and json_type(j, '$.series') = 'ARRAY' and json_type(j, '$.data') is null then json_extract(j, '$.series[*]')
+  when json_type(j) = 'ARRAY' then json_extract(j, '$[*]') else [j] end as a from valid)),
+tree(record_id, s, sid, holder, pos, dewey, parent) as (
+  select record_id, s, coalesce(json_extract_string(s, '$.series_id'), ''), cast(null as varchar), cast(i as bigint), cast(i as varchar), cast(null as varchar) from tops
+    where json_type(s) = 'OBJECT' and len(list_intersect(json_keys(s), ['series_id', 'name', 'data', 'children', 'geography', 'units'])) > 0
+  union all
+  select record_id, c, coalesce(json_extract_string(c, '$.series_id'), ''), sid, cast(k - 1 as bigint), dewey || '.2.' || (k - 1), dewey from (
+    select record_id, sid, dewey, unnest(json_extract(s, '$.children[*]')) as c, unnest(range(1, len(json_extract(s, '$.children[*]')) + 1)) as k from tree)
+    where json_type(c) = 'OBJECT' and c::varchar <> '{}'),
+held as (select record_id, sid, dewey, case when json_type(s, '$.data') = 'VARCHAR' then case when json_valid(json_extract_string(s, '$.data')) then cast(json_extract_string(s, '$.data') as json) end else json_extract(s, '$.data') end as d, s from tree),
+obs as (select record_id, sid, dewey, unnest(json_extract(d, '$[*]')) as o, unnest(range(0, len(json_extract(d, '$[*]')))) as pos from held where json_type(d) = 'ARRAY'),
+revs as (select record_id, sid, dewey, pos, unnest(json_extract(o, '$.revisions[*]')) as v, unnest(range(0, len(json_extract(o, '$.revisions[*]')))) as j from obs where json_type(o) = 'OBJECT'),
+geo as (select record_id, sid, dewey, unnest(case when json_type(s, '$.geography') = 'ARRAY' then json_extract(s, '$.geography[*]') else [json_extract(s, '$.geography')] end) as g,
+  unnest(range(0, case when json_type(s, '$.geography') = 'ARRAY' then len(json_extract(s, '$.geography[*]')) else 1 end)) as pos from held),
+codes as (select record_id, sid, dewey, pos, g, case when json_type(g) = 'OBJECT' then json_extract_string(g, '$.code') else json_extract_string(g, '$') end as code from geo where g is not null),
+periods as (select record_id, sid, dewey, pos, o, case when json_type(o) = 'OBJECT' then json_extract_string(o, '$.period') else json_extract_string(o, '$[0]') end as period from obs)"""
+
+
+def _words(place: str) -> str:
+    """Text of a scalar, null where it is blank or no scalar."""
+    return f"case when json_type({place}) not in ('OBJECT', 'ARRAY', 'NULL') then nullif(case when trim(json_extract_string({place})) <> '' then json_extract_string({place}) else '' end, '') end"
+
+
+def _number(v: str) -> str:
+    return f"case when json_type({v}) in ('DOUBLE', 'BIGINT', 'UBIGINT', 'HUGEINT') or (json_type({v}) = 'VARCHAR' and regexp_full_match(json_extract_string({v}, '$'), '\\s*[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?\\s*')) then try_cast(trim(json_extract_string({v}, '$')) as double) end"
+
+
 ORACLES: dict[str, str] = {
     "p2_found": f"with {_USABLE}, {_HOURS} select meter_id, cast(c * 3600 as bigint) hour_start from cells where c <> h",
     "p2_hourly_grid": f"""with {_USABLE}, {_HOURS}
@@ -165,27 +204,19 @@ ORACLES: dict[str, str] = {
         group by 1, 2, 3)
       select meter_id, strftime(d, '%Y-%m-%d') cal_day, cast(w as bigint) window_days, round(total, 4) total_kwh,
         round(total / w, 4) mean_kwh_per_day, cast(n as bigint) n_readings from framed""",
-    "p6_found": """with recursive valid as (select record_id, cast(record as json) as j from elec where record_id is not null and record is not null and json_valid(record)),
-      tops as (select record_id, unnest(case when json_type(j) = 'OBJECT' and json_type(j, '$.series') = 'ARRAY' and json_type(j, '$.data') is null then json_extract(j, '$.series[*]')
-        when json_type(j) = 'ARRAY' then json_extract(j, '$[*]') else [j] end) as s from valid),
-      tree(record_id, s, sid, holder, pos) as (
-        select record_id, s, coalesce(json_extract_string(s, '$.series_id'), ''), cast(null as varchar), cast(null as bigint) from tops
-          where json_type(s) = 'OBJECT' and len(list_intersect(json_keys(s), ['series_id', 'name', 'data', 'children', 'geography', 'units'])) > 0
-        union all
-        select record_id, c, coalesce(json_extract_string(c, '$.series_id'), ''), sid, cast(k - 1 as bigint) from (
-          select record_id, sid, unnest(json_extract(s, '$.children[*]')) as c, unnest(range(1, len(json_extract(s, '$.children[*]')) + 1)) as k from tree)
-          where json_type(c) = 'OBJECT' and c::varchar <> '{}'),
-      held as (select record_id, sid, case when json_type(s, '$.data') = 'VARCHAR' then case when json_valid(json_extract_string(s, '$.data')) then cast(json_extract_string(s, '$.data') as json) end else json_extract(s, '$.data') end as d, s from tree),
-      obs as (select record_id, sid, unnest(json_extract(d, '$[*]')) as o, unnest(range(0, len(json_extract(d, '$[*]')))) as pos from held where json_type(d) = 'ARRAY'),
-      revs as (select record_id, sid, pos, unnest(json_extract(o, '$.revisions[*]')) as v from obs where json_type(o) = 'OBJECT'),
-      geo as (select record_id, sid, unnest(case when json_type(s, '$.geography') = 'ARRAY' then json_extract(s, '$.geography[*]') else [json_extract(s, '$.geography')] end) as g,
-        unnest(range(0, case when json_type(s, '$.geography') = 'ARRAY' then len(json_extract(s, '$.geography[*]')) else 1 end)) as pos from held),
-      codes as (select record_id, sid, pos, case when json_type(g) = 'OBJECT' then json_extract_string(g, '$.code') else json_extract_string(g, '$') end as code from geo where g is not null),
-      periods as (select record_id, sid, pos, case when json_type(o) = 'OBJECT' then json_extract_string(o, '$.period') else json_extract_string(o, '$[0]') end as period from obs)
-      select record_id, holder as series_id, 'series' as child_kind, pos as child_pos, sid as child_key from tree where holder is not null
+    "p6_found": f"""{_ELEC} select record_id, holder as series_id, 'series' as child_kind, pos as child_pos, sid as child_key from tree where holder is not null
       union all select record_id, sid, 'data', pos, period from periods where period is not null and trim(period) <> ''
-      union all select record_id, sid, 'revision', pos, coalesce(json_extract_string(v, '$.on'), '') from revs where json_type(v) = 'OBJECT' and v::varchar <> '{}'
+      union all select record_id, sid, 'revision', pos, coalesce(json_extract_string(v, '$.on'), '') from revs where json_type(v) = 'OBJECT' and v::varchar <> '{{}}'
       union all select record_id, sid, 'geography', pos, code from codes where code is not null and trim(code) <> ''""",
+    "p6_series": f"""{_ELEC} select record_id, dewey, parent, sid as series_id, holder as parent_series_id, pos, {_words("s, '$.name'")} as name, {_words("s, '$.units'")} as units, {_words("s, '$.f'")} as freq from tree""",
+    "p6_observations": f"""{_ELEC} select record_id, dewey || '.0.' || pos as dewey, dewey as parent, sid as series_id, pos, period, {_number('v')} as value,
+      case when {_number('v')} is null then {_words("v, '$'")} end as value_text
+      from (select *, case when json_type(o) = 'OBJECT' then json_extract(o, '$.value') else json_extract(o, '$[1]') end as v from periods) where period is not null and trim(period) <> ''""",
+    "p6_revisions": f"""{_ELEC} select record_id, dewey || '.0.' || pos || '.0.' || j as dewey, dewey || '.0.' || pos as parent, sid as series_id, pos, coalesce(json_extract_string(v, '$.on'), '') as revised_on,
+      {_number("json_extract(v, '$.value')")} as value, case when {_number("json_extract(v, '$.value')")} is null then {_words("v, '$.value'")} end as value_text
+      from revs where json_type(v) = 'OBJECT' and v::varchar <> '{{}}'""",
+    "p6_areas": f"""{_ELEC} select record_id, dewey || '.1.' || pos as dewey, dewey as parent, sid as series_id, pos, code, case when json_type(g) = 'OBJECT' then {_number("json_extract(g, '$.share')")} end as share
+      from codes where code is not null and trim(code) <> ''""",
     "p4_found": """with cfg as (select name, time_col, coalesce(tz, 'UTC') as tz from dataset_config where path = 'data_morocco'),
       raw as (select row_id, dataset, tz, regexp_replace(case time_col when 'datetime' then datetime when 'logged_at' then logged_at end, '^[\\s\u00a0"]+|[\\s\u00a0"]+$', '', 'g') as t from data_morocco join cfg on cfg.name = dataset),
       cut as (select *, regexp_extract(t, '(Z|[+-]\\d\\d:?\\d\\d|CEST|CET|WEST|WET|EDT|EST|GMT)(\\[.*\\])?$', 1) as z, regexp_matches(t, '^\\d+$') as digits from raw where t is not null),

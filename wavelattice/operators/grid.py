@@ -51,7 +51,8 @@ def regular_grid(
     # The carry: the first step of the next non-empty shard of the source.
     order = Window.partitionBy("src").orderBy("shard")
     carries = shards.select("src", "shard", F.get("own", F.lit(0)).alias("head")).select("src", "shard", F.lead("head").over(order).alias("carry"))
-    carried = shards.join(carries.repartition("src", "shard"), ["src", "shard"])
+    # An outer join keeps both uses of the shards alike, so that their exchange is made once.
+    carried = shards.join(carries, ["src", "shard"], "left")
     spans = carried.select(
         "src",
         F.explode(

@@ -54,12 +54,17 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return reading_bands(read_table(spark, d, "documents"), read_table(spark, d, "reading_labels")).select("doc_id", "band")
 
 
+def p9_median_bands(spark: SparkSession, d: str) -> DataFrame:
+    """The same from the median of the grade formulas alone."""
+    return reading_bands(read_table(spark, d, "documents"), read_table(spark, d, "reading_labels"), names=("grade",)).select("doc_id", "band", "grade")
+
+
 def p9_measures(spark: SparkSession, d: str) -> DataFrame:
     """Readability measures and median grade of every English page."""
     docs = read_table(spark, d, "documents")
     return reading_measures(docs.where(english_label(F.col("lang")))).where("n_words > 0")
 
 
-QUERIES = {f.__name__: f for f in (p1_meter_percentiles, p1_meter_day_percentiles, p1_from_days, p7_packed, p7_fill, p8_found, p9_found, p9_measures)}
+QUERIES = {f.__name__: f for f in (p1_meter_percentiles, p1_meter_day_percentiles, p1_from_days, p7_packed, p7_fill, p8_found, p9_found, p9_median_bands, p9_measures)}
 
 ORACLES: dict[str, str] = {}

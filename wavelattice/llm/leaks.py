@@ -191,8 +191,9 @@ class Passages:
         """The words of ``whole`` that a broken word's two parts are, or may be a misreading of."""
         got = self.joined.get((half, rest))
         if got is None:
-            n = len(half) + len(rest)
-            got = tuple(w for w in whole if -3 <= len(w) - n <= 3 and same_word(w, half + rest))
+            n, ends = len(half) + len(rest), set(rest[-2:])
+            # one of the last two letters stands
+            got = tuple(w for w in whole if -3 <= len(w) - n <= 3 and not ends.isdisjoint(w[-2:]) and same_word(w, half + rest))
             if len(self.joined) > 200_000:  # only a cache
                 self.joined.clear()
             self.joined[half, rest] = got

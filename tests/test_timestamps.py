@@ -67,6 +67,22 @@ def test_zone_estimates(spark):
     assert us_.where("o = 7").first().utc_us == us(2021, 3, 1, 1, 10)
 
 
+def test_declared_zones(spark):
+    rows = []
+    for k in range(400):
+        at = dt.datetime(2021, 3, 1, tzinfo=UTC) + dt.timedelta(minutes=10 * k)
+        local = at + dt.timedelta(hours=1)
+        for feed in ("right", "wrong"):
+            rows.append((feed, k, "Africa/Algiers" if feed == "right" else "Asia/Tokyo", at.strftime("%Y-%m-%dT%H:%M:%SZ") if k % 100 == 50 else local.strftime("%Y-%m-%d %H:%M:%S")))
+    df = spark.createDataFrame(rows, "feed string, o long, tz string, raw string")
+    read = read_times(df, F.col("raw"), F.lit(False))
+    got = {r.feed: r for r in estimate_zones(read, "feed", "o", (), "tz", block=7).collect()}  # marks are blocks apart
+    assert (got["right"].used, got["right"].zone, got["right"].declared_violations) == ("Africa/Algiers", "Africa/Algiers", 0)
+    assert got["wrong"].used == got["wrong"].zone != "Asia/Tokyo" and got["wrong"].n_compared == 396
+    whole = {r.feed: r for r in estimate_zones(read, "feed", "o", (), "tz").collect()}
+    assert got == whole
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "row_id long, raw string")
     assert normalise_times(none, "row_id", F.col("raw"), F.lit("UTC"), F.lit(False)).count() == 0

@@ -49,53 +49,77 @@ def estimate_zones(
     feed: str,
     order: str,
     stream: Sequence[str] = (),
+    declared: str | None = None,
     candidates: Sequence[str] = CANDIDATE_ZONES,
     slack_us: int = 3_600_000_000 // 2,
+    tolerance: float = 0.25,
     block: int = 100_000,
 ) -> DataFrame:
-    """The offset history of each feed that its sequence order supports best.
+    """The offset history of each feed that its sequence order supports best, and the one to be used.
 
     ``df`` comes from ``read_times`` and has ``feed``, ``order`` (arrival order) and
     ``stream`` columns.  Every row without zone information is read in each candidate
-    zone and held against the nearest zone-marked rows before and after it in its stream:
-    it violates the order when it lies more than ``slack_us`` before the earlier or after the
-    later.  The candidate with least violations wins, ties by place in ``candidates``.
-    Streams are cut into blocks of ``block`` order numbers, so that no task gets a whole feed;
-    candidates are a fixed, short list, so rows times candidates stays linear.
-
-    Output: ``feed, zone, n_compared bigint, n_violations bigint``; a feed whose rows can't
-    be compared has no row.
+    zone, the ``declared`` one of its feed among them, and held against the nearest zone-marked rows before and
+    after it in its stream: it violates the order when it lies more than ``slack_us`` before the earlier or after
+    the later.  The candidate with least violations is the estimate, ties go to the declared zone and then by place in
+    ``candidates``.  A declaration stands (``used``) unless more than ``tolerance`` of the compared rows contradict it
+    and the estimate halves that.  Streams are cut into blocks of ``block`` order numbers, so that no task gets a whole feed;
+    the nearest marks beyond a block come to it by a scan of block summaries.  Rows times candidates stays linear.
+
+    Output: ``feed, zone, used, declared, n_compared bigint, n_violations bigint, declared_violations bigint``; a feed whose
+    rows can't be compared has no row, and one without a declaration uses its estimate.
     """
     keyed = df.where(F.col(feed).isNotNull()).select(
         F.col(feed).alias("feed"),
-        F.struct(*[F.col(c) for c in stream], F.floor(F.col(order) / block).alias("b")).alias("k"),
+        F.struct(F.lit(0).alias("_"), *[F.col(c) for c in stream]).alias("k"),
+        F.floor(F.col(order) / block).alias("b"),
         F.col(order).alias("o"),
         F.col("__marked").alias("m"),
         F.col("__p").alias("p"),
+        (F.col(declared) if declared else F.lit(None).cast("string")).alias("d"),
     )
-    before = Window.partitionBy("feed", "k").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("feed", "k").orderBy("o").rowsBetween(1, Window.unboundedFollowing)
+    before = Window.partitionBy("feed", "k", "b").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("feed", "k", "b").orderBy("o").rowsBetween(1, Window.unboundedFollowing)
     near = keyed.withColumn("lo", F.last("m", ignorenulls=True).over(before)).withColumn("hi", F.first("m", ignorenulls=True).over(after))
+    marks = keyed.where(F.col("m").isNotNull()).groupBy("feed", "k", "b").agg(F.min_by("m", "o").alias("first"), F.max_by("m", "o").alias("last"))
+    blocks = keyed.groupBy("feed", "k", "b").agg(F.count(F.lit(1)).alias("n")).join(marks, ["feed", "k", "b"], "left")
+    scan = Window.partitionBy("feed", "k").orderBy("b")
+    carries = blocks.select(
+        "feed", "k", "b",
+        F.last("last", ignorenulls=True).over(scan.rowsBetween(Window.unboundedPreceding, -1)).alias("lo0"),
+        F.first("first", ignorenulls=True).over(scan.rowsBetween(1, Window.unboundedFollowing)).alias("hi0"),
+    )
+    near = near.join(carries, ["feed", "k", "b"], "left").withColumns({"lo": F.coalesce("lo", "lo0"), "hi": F.coalesce("hi", "hi0")})
     local = near.where(F.col("m").isNull() & F.col("p").isNotNull() & (F.col("lo").isNotNull() | F.col("hi").isNotNull()))
-    tried = local.select("feed", "lo", "hi", "p", F.posexplode(F.array(*[F.lit(z) for z in candidates])).alias("rank", "zone"))
+    zones = F.concat(F.array(F.col("d")), F.array(*[F.lit(z) for z in candidates]))
+    tried = local.select("feed", "d", "lo", "hi", "p", F.posexplode(zones).alias("rank", "zone")).where(F.col("zone").isNotNull())
     tried = tried.withColumn("us", _instant("p", F.col("zone"))).where(F.col("us").isNotNull())
     bad = F.coalesce(F.col("us") < F.col("lo") - slack_us, F.lit(False)) | F.coalesce(F.col("us") > F.col("hi") + slack_us, F.lit(False))
     scored = tried.groupBy("feed", "rank", "zone").agg(F.count(F.lit(1)).alias("n"), F.sum(bad.cast("long")).alias("v"))
-    best = scored.groupBy("feed").agg(F.min(F.struct("v", "rank", "zone", "n")).alias("b"))
-    return best.select("feed", F.col("b.zone").alias("zone"), F.col("b.n").alias("n_compared"), F.col("b.v").alias("n_violations"))
+    best = scored.groupBy("feed").agg(F.min(F.struct("v", "rank", "zone", "n")).alias("b"), F.max(F.when(F.col("rank") == 0, F.struct("zone", "v", "n"))).alias("d"))
+    refuted = (F.col("d.v") > tolerance * F.col("d.n")) & (F.col("b.v") * 2 <= F.col("d.v"))
+    return best.select(
+        "feed",
+        F.col("b.zone").alias("zone"),
+        F.when(F.col("d").isNotNull() & ~refuted, F.col("d.zone")).otherwise(F.col("b.zone")).alias("used"),
+        F.col("d.zone").alias("declared"),
+        F.col("b.n").alias("n_compared"),
+        F.col("b.v").alias("n_violations"),
+        F.col("d.v").alias("declared_violations"),
+    )
 
 
 def normalise_times(df: DataFrame, row_id: str, text: Column, declared: Column, month_first: Column, estimated: DataFrame | None = None, feed: str | None = None) -> DataFrame:
     """``row_id, utc_us bigint`` of every row whose value denotes an instant.
 
-    Zone information in the value wins; then the offset history ``declared`` for the feed;
-    then, where that is null and ``estimated`` is given, the one estimated for ``feed``.
+    Zone information in the value wins; then the offset history ``used`` for ``feed`` in ``estimated`` (see
+    ``estimate_zones``), where that is given and has one; then the one ``declared``.
     Null, empty and other values that are no time give no row; repeated rows stay repeated.
     """
     read = read_times(df.select(F.col(row_id).alias("__id"), (F.col(feed) if feed else F.lit(None).cast("string")).alias("__feed"), declared.alias("__zone"), text.alias("__raw"), month_first.alias("__mf")), F.col("__raw"), F.col("__mf"))
     zone = F.col("__zone")
     if estimated is not None:
-        read = read.join(estimated.select(F.col("feed").alias("__feed"), F.col("zone").alias("__guess")), "__feed", "left")
-        zone = F.coalesce(zone, F.col("__guess"))
+        read = read.join(estimated.select(F.col("feed").alias("__feed"), F.col("used").alias("__guess")), "__feed", "left")
+        zone = F.coalesce(F.col("__guess"), zone)
     us = F.coalesce("__epoch", _instant("__p", zone))
     return read.select(F.col("__id").alias(row_id), F.explode(F.array(us)).alias("utc_us")).where(F.col("utc_us").isNotNull())

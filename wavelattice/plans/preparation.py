@@ -56,18 +56,20 @@ def _feed_rows(spark: SparkSession, d: str, path: str = "data_morocco") -> tuple
     return joined, raw
 
 
+def _zones(rows: DataFrame, raw: Column) -> DataFrame:
+    read = read_times(rows.select("row_id", "dataset", "feeder", "__tz", raw.alias("__raw")), F.col("__raw"), F.col("dataset") == "newyork_vendor")
+    return estimate_zones(read, "dataset", "row_id", ["feeder"], "__tz")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """The instant of every row whose time denotes one."""
+    """The instant of every row whose time denotes one; unzoned times by the offset history that order and declaration settle."""
     rows, raw = _feed_rows(spark, d)
-    return normalise_times(rows, "row_id", raw, F.col("__tz"), F.col("dataset") == "newyork_vendor")
+    return normalise_times(rows, "row_id", raw, F.col("__tz"), F.col("dataset") == "newyork_vendor", _zones(rows, raw), "dataset")
 
 
 def p4_zone_estimates(spark: SparkSession, d: str) -> DataFrame:
     """Each feed's offset history as its own sequence order tells it, beside the declared one."""
-    rows, raw = _feed_rows(spark, d)
-    read = read_times(rows.select("row_id", "dataset", "feeder", "__tz", raw.alias("__raw")), F.col("__raw"), F.col("dataset") == "newyork_vendor")
-    declared = rows.select(F.col("dataset").alias("feed"), F.col("__tz").alias("declared")).distinct()
-    return estimate_zones(read, "dataset", "row_id", ["feeder"]).join(declared, "feed").select(F.col("feed").alias("dataset"), "zone", "declared", "n_compared", "n_violations")
+    return _zones(*_feed_rows(spark, d)).withColumnRenamed("feed", "dataset")
 
 
 def _rolling(spark: SparkSession, d: str) -> DataFrame:

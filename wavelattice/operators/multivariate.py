@@ -107,3 +107,18 @@ def cluster_features(features: DataFrame, columns: list[str], n_clusters: int |
     vectors = VectorAssembler(inputCols=columns, outputCol="raw").transform(clean)
     scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(vectors).transform(vectors)
     return KMeans(k=k, seed=seed).fit(scaled).transform(scaled).select("series_id", F.col("prediction").alias("cluster"))
+
+
+def cross_weights(x1: DataFrame, x2: DataFrame, edges: DataFrame, mode: str = "absdiff") -> DataFrame:
+    """Edges of ``cross_visibility`` with ``weight`` (X3): ``absdiff``, ``time_gap`` or ``slope`` between x1 at i and x2 at j.
+
+    The slope is taken over j - i + 1 steps and null where these are none.
+    """
+    n = x1.groupBy("series_id").agg(F.count(F.lit(1)).alias("n1"))
+    a = x1.select("series_id", F.col("t").alias("src"), F.col("value").alias("va"))
+    b = x2.join(n, "series_id").select("series_id", (F.col("t") + F.col("n1")).alias("dst"), F.col("value").alias("vb"), F.col("t").alias("j"))
+    steps = F.col("j") - F.col("src") + 1
+    made = {"absdiff": F.abs(F.col("vb") - F.col("va")), "time_gap": F.abs(F.col("j") - F.col("src")).cast("double"), "slope": F.when(steps != 0, (F.col("vb") - F.col("va")) / steps)}
+    if mode not in made:
+        raise ValueError(f"mode must be one of {', '.join(made)}")
+    return edges.join(a, ["series_id", "src"]).join(b, ["series_id", "dst"]).select("series_id", "src", "dst", made[mode].alias("weight"))

@@ -193,17 +193,15 @@ def zscores(observed: DataFrame, null: DataFrame, ddof: int = 1) -> DataFrame:
     return observed.join(n, "series_id").select("series_id", ((F.col("v") - F.col("null_mean")) / F.greatest("null_std", F.lit(1e-12))).alias("z"), "null_mean", "null_std")
 
 
-def link_significance(d: DataFrame, epsilon: float, count: int = 199, seed: int = 42, alpha: float = 0.05) -> DataFrame:
-    """``i, j, dist, p, significant``: p is the share of label permutations whose distance at (i, j) is larger than epsilon.
+def link_significance(d: DataFrame, epsilon: float, alpha: float = 0.05) -> DataFrame:
+    """``i, j, dist, p, significant``: links (distance at most epsilon) against random relabelling of the series.
 
-    Under a random permutation of labels every pair is as likely to sit at (i, j), so the exact value is the share of
-    all pairs above epsilon; ``count`` draws of it give the permutation estimate, seeded per pair.
+    Under a random permutation of rows and columns every pair is as likely to sit at (i, j), so p, one minus the share
+    of permutations with a distance of at most epsilon there, is exactly the share of all pairs above epsilon;
+    no drawing is needed.  The one-row share goes to all tasks.
     """
-    share = d.agg(F.avg((F.col("dist") > epsilon).cast("double")).alias("far"))
-    both = d.crossJoin(F.broadcast(share))
-    draws = F.aggregate(F.sequence(F.lit(1), F.lit(count)), F.lit(0.0), lambda s, k: s + (F.pmod(F.xxhash64("i", "j", k, F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0 < (1 - F.col("far"))).cast("double"))
-    out = both.withColumn("p", draws / count)
-    return out.select("i", "j", "dist", "p", ((F.col("dist") <= epsilon) & (F.col("p") < alpha)).alias("significant"))
+    share = d.agg(F.avg((F.col("dist") > epsilon).cast("double")).alias("p"))
+    return d.crossJoin(F.broadcast(share)).select("i", "j", "dist", "p", ((F.col("dist") <= epsilon) & (F.col("p") < alpha)).alias("significant"))
 
 
 def motif_zscores(nodes: DataFrame, edges: DataFrame, count: int = 10, seed: int = 42) -> DataFrame:

@@ -149,3 +149,9 @@ def optimal_dimension(points: DataFrame, delay: int = 1, least: int = 2, most: i
         v = ends.groupBy("series_id", "node").agg(F.count(F.lit(1)).alias("d")).groupBy("series_id").agg(F.round(F.var_pop("d"), 9).alias("v")).withColumn("m", F.lit(m))
         each = v if each is None else each.unionByName(v)
     return each.groupBy("series_id").agg(F.max(F.struct(F.col("v"), (-F.col("m")).alias("k"))).alias("b")).select("series_id", (-F.col("b.k")).cast("long").alias("dimension"), F.col("b.v").alias("degree_variance"))
+
+
+def transition_map(network: DataFrame) -> DataFrame:
+    """``series_id, counts map<string, bigint>``: a transition network as a map from "source>target" to its count."""
+    entry = F.struct(F.concat_ws(">", F.col("src").cast("string"), F.col("dst").cast("string")).alias("k"), F.col("weight").cast("long").alias("v"))
+    return network.groupBy("series_id").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("counts"))

@@ -53,6 +53,16 @@ def windowed_graph_stats(points: DataFrame, width: int, by: int, builder: Callab
     return s.select("series_id.series_id", "series_id.window_id", "n_nodes", "n_edges", "avg_degree", "std_degree")
 
 
+def window_aggregate(stats: DataFrame, aggregate: str) -> DataFrame:
+    """``series_id, window_id, value``: one number per window out of its graph statistics.
+
+    ``mean``, ``std``, ``min`` and ``max`` are those of the degrees, other names are columns; a name that is no column gives 0.
+    """
+    name = {"mean": "avg_degree", "std": "std_degree", "min": "min_degree", "max": "max_degree"}.get(aggregate, aggregate)
+    value = F.col(name).cast("double") if name in stats.columns else F.lit(0.0)
+    return stats.select("series_id", "window_id", value.alias("value"))
+
+
 def coarse_grain(points: DataFrame, scale: int, method: str = "mean") -> DataFrame:
     """Blocks of ``scale`` points as one; the rest is dropped, as are series not longer than ``scale``. ``std`` has ddof 1."""
     if method not in COARSE:

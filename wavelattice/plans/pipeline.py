@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelattice.config import Graphs, Pipeline
 from wavelattice.operators import graph, recurrence, transition
+from wavelattice.operators.combined import METRICS, network_metrics
 from wavelattice.operators.decompose import decompose
 from wavelattice.operators.series import load_series, number_points
+from wavelattice.operators.significance import metric_significance
 from wavelattice.operators.visibility import hvg_edges, nvg_edges
 from wavelattice.operators.windows import sliding_windows
 from wavelattice.sources.sinks import write_errors, write_results
@@ -110,5 +114,22 @@ class GraphBuilder:
         nodes = graph.nodes_of(points)
         return graph.degrees(nodes, edges) if self.output == "degrees" else graph.summary(nodes, edges)
 
+    def _graph(self, points: DataFrame) -> tuple[DataFrame, DataFrame]:
+        if self.method.lower() == "transition":
+            raise ValueError("transition networks have no undirected graph measures")
+        return graph.nodes_of(points), build_edges(points, self.method, self.config)
+
+    def network_metrics(self, points: DataFrame, include: Sequence[str] = METRICS) -> DataFrame:
+        """Clustering, paths and modularity of each series' graph."""
+        return network_metrics(*self._graph(points), include)
+
+    def test_significance(self, points: DataFrame, names: Sequence[str] = ("avg_degree",), method: str = "shuffle", count: int = 20, seed: int = 42) -> DataFrame:
+        """Graph statistics of each series against those of its surrogates."""
+
+        def metric(p: DataFrame) -> DataFrame:
+            return graph.summary(*self._graph(p)).select("series_id", *names)
+
+        return metric_significance(points, metric, list(names), method, count, seed=seed)
+
     def fit_transform(self, points: DataFrame) -> DataFrame:
         return self.fit(points).transform(points)

@@ -212,7 +212,7 @@ def q12_zscores(spark, d):
 
 
 def q13_link_significance(spark, d):
-    return significance.link_significance(dist.pair_distances(type_days(spark, d)), 0.8)
+    return rounded(significance.link_significance(rounded(dist.pair_distances(type_days(spark, d))), 0.8))
 
 
 def q14_motif_zscores(spark, d):

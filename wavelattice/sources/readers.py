@@ -64,6 +64,13 @@ def read_distance_shards(spark: SparkSession, folder: str) -> DataFrame:
     return d.unionByName(d.select(F.col("j").alias("i"), F.col("i").alias("j"), "distance"))
 
 
+def named_distances(d: DataFrame, names: DataFrame, key: str = "k", name: str = "name") -> DataFrame:
+    """``name_i, name_j, distance``: distances of numbered series with the series' names (J16); numbers without a name are left out."""
+    a = names.select(F.col(key).cast("long").alias("i"), F.col(name).alias("name_i"))
+    b = names.select(F.col(key).cast("long").alias("j"), F.col(name).alias("name_j"))
+    return d.join(a, "i").join(b, "j").select("name_i", "name_j", "distance")
+
+
 def json_series(df: DataFrame, record: str, least: int = 50) -> DataFrame:
     """``series_id, t, value`` of records ``{"series_id": ..., "data": [[period, value], ...]}``, one series per record.
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -29,3 +31,30 @@ def to_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], check
 def run_to_parquet(stream: DataFrame, folder: str, checkpoint: str) -> None:
     """Writes all available rows of an append stream as Parquet and waits for the end."""
     stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def count_windows(stream: DataFrame, series: str, order: list[str], value: str, width: int, by: int = 1) -> DataFrame:
+    """``series_id, window_id, mean, low, high``: sliding windows of ``width`` values every ``by`` values, as soon as each is full.
+
+    The state of a series is the values that open windows still need and the number of values so far.  Points must
+    arrive in order from batch to batch; inside one they are sorted by ``order``.  Nulls and NaN are left out.
+    """
+    kind = stream.schema[series].dataType.simpleString()
+
+    def step(key, batches, state):
+        n, tail = state.get if state.exists else (0, [])
+        tail = list(tail)
+        rows = pd.concat(list(batches)).sort_values(order)
+        out = []
+        for v in rows[value].to_numpy():
+            if v != v:
+                continue
+            tail = [*tail, float(v)][-width:]
+            n += 1
+            if n >= width and (n - width) % by == 0:
+                out.append((key[0], (n - width) // by, sum(tail) / width, min(tail), max(tail)))
+        state.update((n, tail))
+        yield pd.DataFrame(out, columns=["series_id", "window_id", "mean", "low", "high"])
+
+    clean = stream.where(f"{series} is not null and {value} is not null")
+    return clean.groupBy(series).applyInPandasWithState(step, f"series_id {kind}, window_id long, mean double, low double, high double", "n long, tail array<double>", "append", GroupStateTimeout.NoTimeout)

@@ -110,11 +110,15 @@ def walk_record(text: str | None) -> Iterator[tuple[tuple[int, ...], str, str |
         own = COLUMNS.get(table or "", ())
         others = 3
         for k in sorted(node):
+            v = node[k]
+            if k in own:
+                if isinstance(v, (dict, list)):
+                    rest[k] = v
+                continue
             name, ordinal = known.get(k, (None, None))
-            elements = _elements(name, node[k]) if k not in own else None
+            elements = _elements(name, v)
             if elements is None:
-                if k not in own or isinstance(node[k], (dict, list)):
-                    rest[k] = node[k]
+                rest[k] = v
                 continue
             if ordinal is None:
                 ordinal, others = others, others + 1
@@ -136,16 +140,18 @@ def label_nodes(record_id: int, text: str | None) -> Iterator[tuple]:
     for label, path, table, node, rest in walk_record(text):
         key = num = txt = name = units = freq = None
         up = label[:-2]
-        while up and up not in ids:
+        holder = ids.get(up)
+        while holder is None and up:
             up = up[:-2]
-        holder, pos = ids.get(up), label[-1] if label else 0
+            holder = ids.get(up)
+        pos = label[-1] if label else 0
         if table == "series" and isinstance(node, dict):
             key, name, units, freq = _text(node.get("series_id")) or "", _text(node.get("name")), _text(node.get("units")), _text(node.get("f"))
             ids[label] = key
         elif table == "data" and isinstance(node, (dict, list)):
             period, value = (node.get("period"), node.get("value")) if isinstance(node, dict) else (node[0], node[1] if len(node) > 1 else None)
             key, num, txt = _text(period), _number(value), _text(value)
-            if isinstance(node, list):
+            if isinstance(node, list) and (len(node) > 2 or any(isinstance(v, (dict, list)) for v in node)):
                 rest = {str(i): v for i, v in enumerate(node) if i > 1 or isinstance(v, (dict, list))}
         elif table == "revision" and isinstance(node, dict):
             key, num, txt, pos = _text(node.get("on")) or "", _number(node.get("value")), _text(node.get("value")), label[-3]

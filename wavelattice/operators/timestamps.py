@@ -81,8 +81,8 @@ def estimate_zones(
     before = Window.partitionBy("feed", "k", "b").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy("feed", "k", "b").orderBy("o").rowsBetween(1, Window.unboundedFollowing)
     near = keyed.withColumn("lo", F.last("m", ignorenulls=True).over(before)).withColumn("hi", F.first("m", ignorenulls=True).over(after))
-    marks = keyed.where(F.col("m").isNotNull()).groupBy("feed", "k", "b").agg(F.min_by("m", "o").alias("first"), F.max_by("m", "o").alias("last"))
-    blocks = keyed.groupBy("feed", "k", "b").agg(F.count(F.lit(1)).alias("n")).join(marks, ["feed", "k", "b"], "left")
+    marked = F.when(F.col("m").isNotNull(), F.col("o"))
+    blocks = keyed.groupBy("feed", "k", "b").agg(F.min_by("m", marked).alias("first"), F.max_by("m", marked).alias("last"))
     scan = Window.partitionBy("feed", "k").orderBy("b")
     carries = blocks.select(
         "feed", "k", "b",
@@ -109,17 +109,22 @@ def estimate_zones(
     )
 
 
-def normalise_times(df: DataFrame, row_id: str, text: Column, declared: Column, month_first: Column, estimated: DataFrame | None = None, feed: str | None = None) -> DataFrame:
-    """``row_id, utc_us bigint`` of every row whose value denotes an instant.
+def instants(read: DataFrame, row_id: str, declared: str, estimated: DataFrame | None = None, feed: str | None = None) -> DataFrame:
+    """``row_id, utc_us bigint`` of the rows of ``read_times`` whose value denotes an instant.
 
     Zone information in the value wins; then the offset history ``used`` for ``feed`` in ``estimated`` (see
-    ``estimate_zones``), where that is given and has one; then the one ``declared``.
-    Null, empty and other values that are no time give no row; repeated rows stay repeated.
+    ``estimate_zones``), where that is given and has one; then the one in column ``declared``.
     """
-    read = read_times(df.select(F.col(row_id).alias("__id"), (F.col(feed) if feed else F.lit(None).cast("string")).alias("__feed"), declared.alias("__zone"), text.alias("__raw"), month_first.alias("__mf")), F.col("__raw"), F.col("__mf"))
-    zone = F.col("__zone")
+    zone = F.col(declared)
     if estimated is not None:
-        read = read.join(estimated.select(F.col("feed").alias("__feed"), F.col("used").alias("__guess")), "__feed", "left")
+        read = read.withColumnRenamed(feed, "__feed").join(estimated.select(F.col("feed").alias("__feed"), F.col("used").alias("__guess")), "__feed", "left")
         zone = F.coalesce(F.col("__guess"), zone)
     us = F.coalesce("__epoch", _instant("__p", zone))
-    return read.select(F.col("__id").alias(row_id), F.explode(F.array(us)).alias("utc_us")).where(F.col("utc_us").isNotNull())
+    return read.select(F.col(row_id), F.explode(F.array(us)).alias("utc_us")).where(F.col("utc_us").isNotNull())
+
+
+def normalise_times(df: DataFrame, row_id: str, text: Column, declared: Column, month_first: Column, estimated: DataFrame | None = None, feed: str | None = None) -> DataFrame:
+    """``instants`` of a table: null, empty and other values that are no time give no row; repeated rows stay repeated."""
+    kept = df.select(F.col(row_id).alias("__id"), (F.col(feed) if feed else F.lit(None).cast("string")).alias("__name"), declared.alias("__zone"), text.alias("__raw"), month_first.alias("__mf"))
+    out = instants(read_times(kept, F.col("__raw"), F.col("__mf")), "__id", "__zone", estimated, "__name")
+    return out.withColumnRenamed("__id", row_id)

@@ -11,8 +11,8 @@ from wavelattice.operators.anomalies import FILLERS, implausible_readings
 from wavelattice.operators.grid import regular_grid
 from wavelattice.operators.nested import areas_table, flatten_records, observations_table, revisions_table, series_table
 from wavelattice.operators.rolling import rolling_totals
-from wavelattice.operators.timestamps import estimate_zones, normalise_times, read_times
-from wavelattice.session import read_table
+from wavelattice.operators.timestamps import estimate_zones, instants, read_times
+from wavelattice.session import cut_lineage, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 VERSIONS = ("ingested_at", "reading_id")
@@ -56,20 +56,22 @@ def _feed_rows(spark: SparkSession, d: str, path: str = "data_morocco") -> tuple
     return joined, raw
 
 
-def _zones(rows: DataFrame, raw: Column) -> DataFrame:
+def _read_feeds(spark: SparkSession, d: str) -> DataFrame:
+    """The feeds' rows with their times in parts, read once and kept, as the estimate and the result both use them."""
+    rows, raw = _feed_rows(spark, d)
     read = read_times(rows.select("row_id", "dataset", "feeder", "__tz", raw.alias("__raw")), F.col("__raw"), F.col("dataset") == "newyork_vendor")
-    return estimate_zones(read, "dataset", "row_id", ["feeder"], "__tz")
+    return cut_lineage(read.select("row_id", "dataset", "feeder", "__tz", "__epoch", "__p", "__marked"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """The instant of every row whose time denotes one; unzoned times by the offset history that order and declaration settle."""
-    rows, raw = _feed_rows(spark, d)
-    return normalise_times(rows, "row_id", raw, F.col("__tz"), F.col("dataset") == "newyork_vendor", _zones(rows, raw), "dataset")
+    read = _read_feeds(spark, d)
+    return instants(read, "row_id", "__tz", estimate_zones(read, "dataset", "row_id", ["feeder"], "__tz"), "dataset")
 
 
 def p4_zone_estimates(spark: SparkSession, d: str) -> DataFrame:
     """Each feed's offset history as its own sequence order tells it, beside the declared one."""
-    return _zones(*_feed_rows(spark, d)).withColumnRenamed("feed", "dataset")
+    return estimate_zones(_read_feeds(spark, d), "dataset", "row_id", ["feeder"], "__tz").withColumnRenamed("feed", "dataset")
 
 
 def _rolling(spark: SparkSession, d: str) -> DataFrame:

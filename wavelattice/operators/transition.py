@@ -143,7 +143,7 @@ def optimal_lag(points: DataFrame, max_lag: int = 50) -> DataFrame:
 def optimal_dimension(points: DataFrame, delay: int = 1, least: int = 2, most: int = 8) -> DataFrame:
     """The pattern length whose ordinal partition network has the greatest variance of degree (first on ties)."""
     each = None
-    for m in range(least, min(most, 10) + 1):
+    for m in range(least, most + 1):
         net = transitions(ordinal_symbols(points, m, delay))
         ends = net.select("series_id", F.inline(F.array(F.struct(F.col("src").alias("node")), F.struct(F.col("dst").alias("node")))))
         v = ends.groupBy("series_id", "node").agg(F.count(F.lit(1)).alias("d")).groupBy("series_id").agg(F.round(F.var_pop("d"), 9).alias("v")).withColumn("m", F.lit(m))

@@ -39,7 +39,7 @@ def s20_json_series(spark, d):
     from wavelattice.sources.readers import json_series
 
     p = json_series(read_table(spark, d, "elec"), "record", least=4)
-    return rounded(p.groupBy("series_id").agg(F.count(F.lit(1)).alias("n_points"), F.avg("value").alias("mean")), 4)
+    return rounded(p.groupBy("series_id").agg(F.count(F.lit(1)).alias("n_points"), F.avg("value").alias("mean")), 6)
 
 
 def p1_series_warnings(spark, d):

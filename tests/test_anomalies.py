@@ -51,7 +51,7 @@ def test_second_deliveries_and_shards(spark):
     df, _ = make(spark, {"a": v})
     twice = df.unionByName(df.where("v > 60").selectExpr("id + 10000 id", "m", "ts", "v", "shard", "y"))
     assert set(found(twice)) == {301, 10301}
-    assert set(found(twice, shard_hours=24)) == set(found(twice, shard_hours=100_000)) == set(found(twice, broadcast_rows=-1))
+    assert set(found(twice, shard_hours=24)) == set(found(twice, shard_hours=100_000)) == set(found(twice, broadcast_bytes=-1))
 
 
 def test_spikes_of_a_dense_meter(spark):

@@ -64,8 +64,8 @@ def spike_limits(rows: DataFrame, parts: DataFrame, alpha: float, max_share: flo
     """``src, hi, lo``: values of ``y`` at and beyond which a source's readings are spikes (null: none).
 
     Residuals are studentised by the robust spread and counted in a histogram per source
-    (bins of the residual and of ``y``, so the size of a source's histogram does not grow with
-    its readings).  Walking the bins from the largest residual down, the generalised ESD
+    (bins of the residual and of ``y``; only bins beyond two spreads are kept by day, which the
+    recurrence below needs, so these grow with the days a source has such values).  Walking the bins from the largest residual down, the generalised ESD
     limit for the number of values so far is compared with the bin; the last bin above
     its limit ends the outliers, at most ``max_share`` of the readings.  Of these, only
     values parted by a factor ``far`` from all that the source shows otherwise are spikes.
@@ -191,7 +191,7 @@ def implausible_readings(
     min_run: int = 12,
     expected_chance_runs: float = 0.1,
     fillers: Sequence[float] = FILLERS,
-    broadcast_rows: int = 100_000,
+    broadcast_bytes: int = 32_000_000,
     salts: int = 32,
 ) -> DataFrame:
     """``reading_id, source, value, why`` of the implausible usable readings; ``why`` is an array.
@@ -202,7 +202,7 @@ def implausible_readings(
     histogram and runs are all taken there, and only summaries cross to the whole source,
     so a source of any size is spread over its shards.  What comes out are the limits of the sources
     that have some, and the runs by source and shard; the readings are held against them in
-    a second scan, without an exchange where these are at most ``broadcast_rows`` rows, else by
+    a second scan, without an exchange where these take at most ``broadcast_bytes``, else by
     joins on source and part of time.  Zeros are never spikes or stuck.
     Second deliveries are judged like first ones.  Sources of fewer than 7 positive
     readings have no spikes.  Null or NaN readings are not judged; empty input gives no rows.
@@ -223,12 +223,14 @@ def implausible_readings(
     spread = stuck.select("src", F.struct("from_us", "to_us", "val").alias("run"), F.explode(F.sequence(F.floor(F.col("from_us") / width).cast("long"), F.floor(F.col("to_us") / width).cast("long"))).alias("shard"))
     spread = cut_lineage(spread.groupBy("src", "shard").agg(F.collect_list("run").alias("runs")))
     judged = base.select("src", "us", "val", F.col("x0").alias("id"), F.floor(F.col("us") / width).cast("long").alias("shard"))
-    if limits.count() <= broadcast_rows:
+    size = limits.agg(F.coalesce(F.sum(F.length("src") + 64), F.lit(0))).first()[0]
+    if size <= broadcast_bytes:
         judged = judged.join(F.broadcast(limits), "src", "left")
     else:  # by source and part, so that a source with many readings is spread
         salted = limits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         judged = judged.withColumn("salt", F.pmod("shard", F.lit(salts)).cast("int")).join(salted, ["src", "salt"], "left")
-    judged = judged.join(F.broadcast(spread) if spread.count() <= broadcast_rows else spread, ["src", "shard"], "left")
+    size = spread.agg(F.coalesce(F.sum(F.length("src") + 96 + 32 * F.size("runs")), F.lit(0))).first()[0]
+    judged = judged.join(F.broadcast(spread) if size <= broadcast_bytes else spread, ["src", "shard"], "left")
     y = F.when(~bad & (F.col("val") > 0), F.log("val"))
     spike = F.coalesce((y >= F.col("hi")) | (y <= F.col("lo")), F.lit(False))
     is_stuck = F.coalesce(F.exists("runs", lambda q: (F.col("us") >= q.from_us) & (F.col("us") <= q.to_us) & (F.col("val") == q.val)), F.lit(False))

@@ -26,15 +26,28 @@ _SMALL = f"""select g.series_id, g.c, p.l, g.density as c_random, case when g.k
   join ({_PATHS}) p using (series_id)"""
 
 
-def _triple_code(flags: tuple[int, int, int]) -> int:
-    """Least adjacency code over the orders of a triple whose links a>b, a>c, b>c are given."""
-    link = {(0, 1): flags[0], (0, 2): flags[1], (1, 2): flags[2]}
-    slots = [(x, y) for x in range(3) for y in range(3) if x != y]
-    return min(sum(link.get((p[x], p[y]), 0) << i for i, (x, y) in enumerate(slots)) for p in permutations(range(3)))
+_SLOTS = [(x, y) for x in range(3) for y in range(3) if x != y]
 
 
-_CODES = " ".join(f"when ab = {a} and ac = {b} and bc = {c} then {_triple_code((a, b, c))}" for a in (0, 1) for b in (0, 1) for c in (0, 1) if a + b + c > 1)
-_BOTH = "s as (select distinct series_id, src, dst from e where src <> dst), n2 as (select series_id, src as u, dst as v from s union all select series_id, dst, src from s)"
+def _triple_code(bits: int) -> int:
+    """Least adjacency code over the orders of a triple with the links ``bits`` (one bit a slot)."""
+    link = {s: bits >> i & 1 for i, s in enumerate(_SLOTS)}
+    return min(sum(link[p[x], p[y]] << i for i, (x, y) in enumerate(_SLOTS)) for p in permutations(range(3)))
+
+
+_CODES = " ".join(f"when {k} then {_triple_code(k)}" for k in range(64))
+
+
+def _motifs3() -> str:
+    """Classes of the connected directed triples of ``e``."""
+    names = "abc"
+    joins = " ".join(f"left join s s{i} on s{i}.series_id = t.series_id and s{i}.src = t.{names[x]} and s{i}.dst = t.{names[y]}" for i, (x, y) in enumerate(_SLOTS))
+    bits = " + ".join(f"(case when s{i}.src is null then 0 else {1 << i} end)" for i in range(6))
+    return f"""{_BOTH}, {_TRIPLES}, f as (select t.series_id, {bits} as bits from tr t {joins})
+      select series_id, code, count(*) as n from (select series_id, cast(case bits {_CODES} end as integer) as code from f) group by 1, 2"""
+
+
+_BOTH = "s as (select distinct series_id, src, dst from e where src <> dst), n2 as (select series_id, src as u, dst as v from s union select series_id, dst, src from s)"
 _TRIPLES = """tr as (select distinct p.series_id, least(p.u, p.v, q.v) as a, p.u + p.v + q.v - least(p.u, p.v, q.v) - greatest(p.u, p.v, q.v) as b, greatest(p.u, p.v, q.v) as c
   from n2 p join n2 q on q.series_id = p.series_id and q.u = p.u and p.v < q.v)"""
 
@@ -64,10 +77,10 @@ ORACLES = {
       with {POINTS}, {nvg()}, {DEGREES} select series_id, count(*) as n, cast(sum(degree) / 2 as bigint) as m, {r('avg(degree)')} as deg_mean, {r('stddev_samp(degree)')} as deg_std,
         {r('case when count(*) > 1 then (sum(degree) / 2) / (count(*) * (count(*) - 1) / 2) else 0.0 end')} as density from deg group by 1) d
       left join ({VISIBILITY['a12_assortativity']}) a using (series_id) join ({VISIBILITY['g1_clustering']}) g using (series_id) join ({_SMALL}) w using (series_id)""",
-    "g14_motifs3": f"""with {POINTS}, {HVG}, {_BOTH}, {_TRIPLES},
-      f as (select t.series_id, case when x.src is null then 0 else 1 end as ab, case when y.src is null then 0 else 1 end as ac, case when z.src is null then 0 else 1 end as bc from tr t
-        left join s x on x.series_id = t.series_id and x.src = t.a and x.dst = t.b left join s y on y.series_id = t.series_id and y.src = t.a and y.dst = t.c left join s z on z.series_id = t.series_id and z.src = t.b and z.dst = t.c)
-      select series_id, code, count(*) as n from (select series_id, cast(case {_CODES} end as integer) as code from f) group by 1, 2""",
+    "g14_motifs3": f"with {POINTS}, {HVG}, {_motifs3()}",
+    "t10_pattern_motifs": f"with e as (select series_id, cast(src as bigint) as src, cast(dst as bigint) as dst from ({DYNAMICS['t7_transitions']})), {_motifs3()}",
+    "z5_window_features": f"""select series_id, window_id, case when stddev_pop(k) over w > 1e-12 then {r('(k - avg(k) over w) / stddev_pop(k) over w', 6)} else 0.0 end as z_avg_degree
+      from (select series_id, window_id, 2.0 * n_edges / n_nodes as k from ({DYNAMICS['w5_window_hvg']})) window w as (partition by series_id)""",
     "g15_motifs4": f"""with {POINTS}, {HVG}, {_BOTH}, {_TRIPLES}, gr as (select t.series_id, list_sort([t.a, t.b, t.c, n.v]) as q from (select *, unnest([a, b, c]) as u from tr) t join n2 n on n.series_id = t.series_id and n.u = t.u and n.v not in (t.a, t.b, t.c)),
       fo as (select distinct series_id, q from gr), pr as (select f.series_id, f.q, s.src, s.dst from fo f join s on s.series_id = f.series_id and s.src in (f.q[1], f.q[2], f.q[3]) and s.dst in (f.q[2], f.q[3], f.q[4])),
       dg as (select series_id, q, x, count(*) as k from (select series_id, q, unnest([src, dst]) as x from pr) group by 1, 2, 3), kd as (select series_id, q, sum(k) / 2 as m, max(k) as top from dg group by 1, 2)

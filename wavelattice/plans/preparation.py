@@ -181,6 +181,18 @@ def _number(v: str) -> str:
     return f"case when json_type({v}) in ('DOUBLE', 'BIGINT', 'UBIGINT', 'HUGEINT') or (json_type({v}) = 'VARCHAR' and regexp_full_match(json_extract_string({v}, '$'), '\\s*[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?\\s*')) then try_cast(trim(json_extract_string({v}, '$')) as double) end"
 
 
+_ODD = f"""with {_USABLE},
+      fill as (select unnest([{', '.join(map(repr, FILLERS))}]) as f),
+      bad as (select reading_id from usable where v < 0 or isinf(v) or v in (select f from fill)),
+      pos as (select reading_id, meter_id, ln(v) as y from usable where v > 0 and reading_id not in (select reading_id from bad)),
+      ranked as (select *, row_number() over w as k, count(*) over (partition by meter_id) as n, y - lag(y) over w as gap from pos window w as (partition by meter_id order by y, reading_id)),
+      hi as (select meter_id, min(y) as hi from ranked where n >= 7 and gap >= ln(3) and k > n - greatest(1, floor(n * 0.1)) group by 1),
+      lo as (select meter_id, max(y) as lo from (select *, lead(y) over (partition by meter_id order by y, reading_id) - y as up from ranked) where n >= 7 and up >= ln(3) and k <= greatest(1, floor(n * 0.1)) group by 1),
+      firsts as (select meter_id, ts, arg_min(v, reading_id) as v from usable where reading_id not in (select reading_id from bad) group by 1, 2),
+      marks as (select *, case when v is distinct from lag(v) over (partition by meter_id order by ts) then 1 else 0 end as c from firsts),
+      runs as (select meter_id, g, any_value(v) as v, count(*) as n, min(ts) as a, max(ts) as b from (select *, sum(c) over (partition by meter_id order by ts) as g from marks) group by 1, 2),
+      long as (select * from runs where v > 0 and n >= 12 and meter_id in (select meter_id from runs where n < 12 group by 1 having count(*) >= 5))"""
+
 ORACLES: dict[str, str] = {
     "p2_found": f"with {_USABLE}, {_HOURS} select meter_id, cast(c * 3600 as bigint) hour_start from cells where c <> h",
     "p2_hourly_grid": f"""with {_USABLE}, {_HOURS}
@@ -240,17 +252,10 @@ ORACLES: dict[str, str] = {
       union all select row_id, epoch_us(case when timezone(tz, u - interval 1 hour) = local then u - interval 1 hour else u end) from spelled where u is not null
       union all select row_id, case when off is not null then epoch_us(local) - cast(off as bigint) * 60000000 else epoch_us(case when timezone(tz, u - interval 1 hour) = local then u - interval 1 hour else u end) end from zoned""",
     # The rule that the limits come down to on these tables: wide gaps in the outer tenth, long runs, impossible values.
-    "p3_found": f"""with {_USABLE},
-      fill as (select unnest([{', '.join(map(repr, FILLERS))}]) as f),
-      bad as (select reading_id from usable where v < 0 or isinf(v) or v in (select f from fill)),
-      pos as (select reading_id, meter_id, ln(v) as y from usable where v > 0 and reading_id not in (select reading_id from bad)),
-      ranked as (select *, row_number() over w as k, count(*) over (partition by meter_id) as n, y - lag(y) over w as gap from pos window w as (partition by meter_id order by y, reading_id)),
-      hi as (select meter_id, min(y) as hi from ranked where n >= 7 and gap >= ln(3) and k > n - greatest(1, floor(n * 0.1)) group by 1),
-      lo as (select meter_id, max(y) as lo from (select *, lead(y) over (partition by meter_id order by y, reading_id) - y as up from ranked) where n >= 7 and up >= ln(3) and k <= greatest(1, floor(n * 0.1)) group by 1),
-      firsts as (select meter_id, ts, arg_min(v, reading_id) as v from usable where reading_id not in (select reading_id from bad) group by 1, 2),
-      marks as (select *, case when v is distinct from lag(v) over (partition by meter_id order by ts) then 1 else 0 end as c from firsts),
-      runs as (select meter_id, g, any_value(v) as v, count(*) as n, min(ts) as a, max(ts) as b from (select *, sum(c) over (partition by meter_id order by ts) as g from marks) group by 1, 2),
-      long as (select * from runs where v > 0 and n >= 12 and meter_id in (select meter_id from runs where n < 12 group by 1 having count(*) >= 5))
+    "p3_found": f"""{_ODD}
       select reading_id from bad union select reading_id from pos join hi using (meter_id) where y >= hi union select reading_id from pos join lo using (meter_id) where y <= lo
       union select u.reading_id from usable u join long l on u.meter_id = l.meter_id and u.ts between l.a and l.b and u.v = l.v""",
+    "p3_reasons": f"""{_ODD}, odd as (select reading_id, 1 as k, 'impossible' as why from bad union select reading_id, 2, 'spike' from pos join hi using (meter_id) where y >= hi union select reading_id, 2, 'spike' from pos join lo using (meter_id) where y <= lo
+        union select u.reading_id, 3, 'stuck' from usable u join long l on u.meter_id = l.meter_id and u.ts between l.a and l.b and u.v = l.v)
+      select u.reading_id, u.meter_id, u.v as value, string_agg(why, ',' order by k) as why from odd join usable u using (reading_id) group by 1, 2, 3""",
 }

@@ -93,7 +93,7 @@ def _place(c: Column, kind: T.DataType) -> Column | None:
     return c.cast("double") if isinstance(kind, (T.IntegralType, T.DecimalType)) else None
 
 
-def number_points(df: DataFrame, series: str = "series_id", order: Sequence[str] = ("ts",), value: str = "value", shard_rows: int = 100_000) -> DataFrame:
+def number_points(df: DataFrame, series: str = "series_id", order: Sequence[str] = ("ts",), value: str = "value", shard_rows: int = 1_000_000) -> DataFrame:
     """``series_id, t bigint, value double``: finite values, numbered from 0 in order within their series.
 
     Series of more than ``shard_rows`` values are cut into ranges of their first order column; a range

@@ -82,5 +82,11 @@ def test_spikes_above_recurring_peaks(spark):
     assert {rows[i][3] for i in found(df)} == {300.0, 400.0, 0.004}
 
 
+def test_all_but_one_reading_wide(spark):
+    """Two of three readings far from the third leave the outlier test no degree of freedom; that is no error."""
+    rows = [(i, "three", dt.datetime(2020, 1, 1) + dt.timedelta(minutes=m), v, 1, 1.0) for i, (m, v) in enumerate([(0, 1.0), (1, 100.0), (120, 10.0)])]
+    assert found(spark.createDataFrame(rows, SCHEMA)) == {}
+
+
 def test_empty(spark):
     assert found(spark.createDataFrame([], SCHEMA)) == {}

@@ -22,7 +22,11 @@ def student_upper_quantile(p: Column, df: Column) -> Column:
 
 
 def esd_limit(n: Column, i: Column, alpha: float) -> Column:
-    """Critical value of the i-th step of the generalised extreme studentised deviate test on n values."""
+    """Critical value of the i-th step of the generalised extreme studentised deviate test on n values.
+
+    Null where no degree of freedom is left (i >= n - 1): a division by zero there is an error in ANSI mode.
+    """
     p = F.lit(alpha) / (2 * (n - i + 1))
-    t = student_upper_quantile(p, n - i - 1)
-    return (n - i) * t / F.sqrt((n - i - 1 + t * t) * (n - i + 1))
+    df = F.when(n - i > 1, n - i - 1)
+    t = student_upper_quantile(p, df)
+    return (n - i) * t / F.sqrt((df + t * t) * (n - i + 1))

@@ -4,9 +4,10 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from wavelattice.llm.pages import is_broken, joined, letters, reading_order
-from wavelattice.llm.reading import MEASURES, article_words, count_lines, fit_bands, is_english, matter_of, measures, reading_bands, syllables, word_odds
+from wavelattice.llm.reading import MEASURES, article_words, count_lines, fit_bands, fit_spread_bands, is_english, matter_of, measures, reading_bands, syllables, word_odds
 
 EASY = "The cat sat on the mat. It was a big red mat. The dog ran to the cat. The cat did not run. It sat by the fire. "
 HARD = "The epistemological presuppositions of the argument necessarily undermine transcendental argumentation, notwithstanding considerable methodological sophistication. The institutional intermediaries of the administration systematically reconfigure responsibilities. "
@@ -63,6 +64,26 @@ def test_query(spark):
     assert reading_bands(d.limit(0), known).count() == 0 and reading_bands(d, known.limit(0)).count() == 0
 
 
+def test_every_labelled_page_counts(spark):
+    """Of 40 000 labels only the twelve that come last by the hash of their id have a page; these teach the bands."""
+    labels = spark.range(1000, 41000).withColumnRenamed("id", "doc_id")
+    last = [r.doc_id for r in labels.orderBy(F.xxhash64("doc_id").desc(), F.desc("doc_id")).limit(12).collect()]
+    band = {i: 1 + 3 * (k % 2) for k, i in enumerate(last)}
+    wanted = {i: 1 + 3 * (i % 2) for i in range(10)}
+    docs = spark.createDataFrame([(i, (EASY if b == 1 else HARD) * 6, "en") for i, b in (band | wanted).items()], "doc_id long, text string, lang string")
+    known = labels.withColumn("band", F.when(F.col("doc_id").isin([i for i, b in band.items() if b == 1]), 1).otherwise(4))
+    for most in (32_000_000, -1):
+        assert {r.doc_id: r.band for r in reading_bands(docs, known, broadcast_bytes=most).collect()} == wanted
+
+
+def test_fit_over_partitions(spark):
+    rng = np.random.default_rng(1)
+    t = pd.DataFrame(np.vstack([rng.normal(b, 0.9, (50, len(MEASURES))) for b in (1, 2, 4)]), columns=list(MEASURES)).assign(band=np.repeat([1, 2, 4], 50))
+    here, spread = fit_bands(t), fit_spread_bands(spark.createDataFrame(t).repartition(3))
+    assert here[0] == spread[0] == [1, 2, 4] and all(np.allclose(a, b, atol=1e-7) for a, b in zip(here[1:], spread[1:]))
+    assert fit_spread_bands(spark.createDataFrame(t).limit(0))[0] == []
+
+
 def test_unseen_adverts_are_learnt_from_layout():
     rng = random.Random(3)
     article = "the council met on monday to talk about the new road that leads past the mill and over the bridge to the farms".split()

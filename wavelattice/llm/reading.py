@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from math import log
 from statistics import median
 
@@ -77,7 +77,7 @@ def learn_adverts(pages: DataFrame, reach: int = 2, least: int = 5) -> dict[str,
     """``word_odds`` learnt from the pages of ``page_columns`` by layout alone, without any list of phrases.
 
     Words are counted per partition and summed; those on fewer than ``least`` lines stay behind, so
-    what comes back is bounded by the vocabulary of the given pages, which should be a bounded sample.
+    what comes back is bounded by the vocabulary of the given pages, which grows far slower than they do.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -276,22 +276,86 @@ def reading_measures(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return page_columns(df, doc_id, text, boxes).where(F.col("doc_id").isNotNull()).mapInPandas(scan, schema)
 
 
-def fit_bands(table: pd.DataFrame, label: str = "band", names: Sequence[str] = MEASURES, ridge: float = 1e-3, steps: int = 400, rate: float = 0.5) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+def _sums(x: np.ndarray, bands: np.ndarray, classes: Sequence[int], mean: np.ndarray, scale: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Loss, gradient and Hessian of the softmax regression at ``w``, summed over the rows, as one flat array."""
+    z = np.c_[np.ones(len(x)), (x - mean) / scale]
+    p, k = w.shape
+    hit = bands[:, None] == np.array(classes)[None, :]
+    s = z @ w
+    s -= s.max(1, keepdims=True)
+    q = np.exp(s)
+    total = q.sum(1, keepdims=True)
+    q /= total
+    hess = np.empty((p, k, p, k))
+    for a in range(k):
+        for b in range(a, k):
+            hess[:, a, :, b] = hess[:, b, :, a] = z.T @ (z * (q[:, a] * ((a == b) - q[:, b]))[:, None])
+    return np.concatenate(([np.log(total).sum() - s[hit].sum()], (z.T @ (q - hit)).ravel(), hess.ravel()))
+
+
+def _least(sums: Callable[[np.ndarray], np.ndarray], n: int, p: int, k: int, ridge: float, steps: int = 50, near: float = 1e-9) -> np.ndarray:
+    """Weights of the least mean loss, by Newton's method; ``sums`` gives ``_sums`` of all ``n`` rows at given weights."""
+    held = np.full((p, k), ridge)
+    held[0] = 0.0
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        flat = sums(w) / n
+        hess = flat[1 + p * k :].reshape(p * k, p * k) + np.diag(held.ravel())
+        hess[:k, :k] += 1.0 / k  # a constant added to all classes changes nothing; this keeps the matrix regular
+        return flat[0] + 0.5 * (held * w * w).sum(), flat[1 : 1 + p * k].reshape(p, k) + held * w, hess
+
+    w = np.zeros((p, k))
+    loss, slope, hess = at(w)
+    for _ in range(steps):
+        if np.abs(slope).max() <= near:
+            break
+        way, t = np.linalg.solve(hess, slope.ravel()).reshape(p, k), 1.0
+        now = at(w - way)
+        while now[0] > loss + 1e-12 and t > 1e-3:
+            t /= 2
+            now = at(w - t * way)
+        w = w - t * way
+        loss, slope, hess = now
+    return w
+
+
+def fit_bands(table: pd.DataFrame, label: str = "band", names: Sequence[str] = MEASURES, ridge: float = 1e-3) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
     """Softmax regression of the band on the standardised measures: classes, mean, scale, weights."""
     table = table.dropna(subset=[label, *names]).sort_values([label, *names])
     classes = sorted({int(b) for b in table[label]})
     if not classes:
         return [], np.zeros(len(names)), np.ones(len(names)), np.zeros((len(names) + 1, 0))
-    x = table[list(names)].to_numpy(dtype=np.float64)
+    x, bands = table[list(names)].to_numpy(dtype=np.float64), table[label].to_numpy(dtype=np.int64)
     mean, scale = x.mean(0), x.std(0) + 1e-9
-    z = np.c_[np.ones(len(x)), (x - mean) / scale]
-    hit = (table[label].to_numpy(dtype=np.int64)[:, None] == np.array(classes)[None, :]).astype(np.float64)
-    w = np.zeros((z.shape[1], len(classes)))
-    for _ in range(steps):
-        p = np.exp(z @ w - (z @ w).max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        w -= rate * (z.T @ (p - hit) / len(x) + ridge * np.vstack([np.zeros((1, len(classes))), w[1:]]))
-    return classes, mean, scale, w
+    return classes, mean, scale, _least(lambda w: _sums(x, bands, classes, mean, scale, w), len(x), len(names) + 1, len(classes), ridge)
+
+
+def fit_spread_bands(lessons: DataFrame, label: str = "band", names: Sequence[str] = MEASURES, ridge: float = 1e-3) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """``fit_bands`` over a table of any size, which is read once a step: every partition sends only its sums.
+
+    The table should be kept and have a bounded number of partitions.
+    """
+    names = list(names)
+    lessons = lessons.select(F.col(label).cast("int").alias("label"), *names).dropna()
+    stats = lessons.agg(F.count(F.lit(1)).alias("n"), F.collect_set("label").alias("bands"), *[F.avg(m).alias(f"mean_{m}") for m in names], *[F.stddev_pop(m).alias(f"sd_{m}") for m in names]).first()
+    classes = sorted(stats["bands"])
+    if not classes:
+        return [], np.zeros(len(names)), np.ones(len(names)), np.zeros((len(names) + 1, 0))
+    mean, scale = np.array([stats[f"mean_{m}"] for m in names]), np.array([stats[f"sd_{m}"] for m in names]) + 1e-9
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = None
+            for pdf in batches:
+                if len(pdf):
+                    own = _sums(pdf[names].to_numpy(dtype=np.float64), pdf["label"].to_numpy(dtype=np.int64), classes, mean, scale, w)
+                    total = own if total is None else total + own
+            if total is not None:
+                yield pd.DataFrame({"sums": [total.tolist()]})
+
+        return np.sum([r["sums"] for r in lessons.mapInPandas(scan, "sums array<double>").collect()], axis=0)
+
+    return classes, mean, scale, _least(sums, stats["n"], len(names) + 1, len(classes), ridge)
 
 
 def band_expression(model: tuple[list[int], np.ndarray, np.ndarray, np.ndarray], names: Sequence[str] = MEASURES) -> Column:
@@ -321,27 +385,27 @@ def reading_bands(
     boxes: str | None = "line_boxes",
     band: str = "band",
     min_words: int = 75,
-    max_labels: int = 20_000,
     names: Sequence[str] = MEASURES,
+    broadcast_bytes: int = 32_000_000,
 ) -> DataFrame:
     """``doc_id, band int, grade double, n_words`` of every English page that carries an article, labelled ones left out.
 
-    What adverts say is learnt from at most ``max_labels`` labelled pages, taken in order of a hash
-    of their id, by layout alone, and the classifier is fitted on the ``names`` measures of the same pages (``grade`` alone: the median of the formulas); every other page is judged with it.  Pages whose label isn't English, whose
+    What adverts say is learnt from all labelled pages by layout alone, and the classifier is fitted on the ``names``
+    measures of all of them (``grade`` alone: the median of the formulas); every other page is judged with it.  Labels go
+    to all tasks where they take at most ``broadcast_bytes``, else pages and labels are joined by an exchange.  Pages whose label isn't English, whose
     article has fewer than ``min_words`` words or isn't English prose, and null texts give no row.
     Without any labelled page no band can be told and the result is empty.
     """
-    known = labels.where(F.col(doc_id).isNotNull() & F.col(band).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(F.min(band).cast("int").alias("band"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels).collect()
-    spark = documents.sparkSession
-    small = spark.createDataFrame([(r[0], r[1]) for r in sample], "doc_id long, band int")
+    known = labels.where(F.col(doc_id).isNotNull() & F.col(band).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(F.min(band).cast("int").alias("label"))
+    known = cut_lineage(known)
+    n_labels = known.count()
+    held = F.broadcast(known) if 16 * n_labels <= broadcast_bytes else known
     pages = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), *([F.col(boxes).alias("line_boxes")] if boxes and boxes in documents.columns else []))
     english = pages.where(english_label(F.col("lang")))
-    odds = learn_adverts(page_columns(english.join(F.broadcast(small.select("doc_id")), "doc_id", "left_semi"), "doc_id", "text", "line_boxes"))
-    # Each page is read once; its few numbers are kept for fitting and for judging.
-    rest = cut_lineage(reading_measures(english, odds=odds).where((F.col("n_words") >= min_words) & F.col("english")))
-    lessons = rest.join(F.broadcast(small), "doc_id").toPandas()  # at most max_labels rows
-    model = fit_bands(lessons, names=names)
-    # Labels grow with the corpus: an anti join that Spark plans by their size.
-    judged = rest.join(known.select("doc_id"), "doc_id", "left_anti")
+    odds = learn_adverts(page_columns(english.join(held, "doc_id", "left_semi"), "doc_id", "text", "line_boxes"))
+    # Each page is read once; its few numbers are kept, with its label, for fitting and for judging.
+    rest = cut_lineage(reading_measures(english, odds=odds).where((F.col("n_words") >= min_words) & F.col("english")).join(held, "doc_id", "left"))
+    lessons = cut_lineage(rest.where(F.col("label").isNotNull()).select("doc_id", "label", *names).repartition(min(256, 1 + n_labels // 50_000), "doc_id"))
+    model = fit_spread_bands(lessons, "label", names)
+    judged = rest.where(F.col("label").isNull())
     return judged.select("doc_id", band_expression(model, names).alias("band"), "grade", "n_words").where(F.col("band").isNotNull())

@@ -4,7 +4,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from wavelattice.llm.leaks import Passages, find_leaks, leaks_in, myers, passage_of
+from wavelattice.llm import leaks
+from wavelattice.llm.leaks import Page, Passages, find_leaks, leaks_in, myers, passage_of
 
 PASSAGE = (
     "During the harvest of that remarkable season the travelling merchants from Brindlewick purchased nineteen copper kettles, because nobody in the valley "
@@ -128,3 +129,14 @@ def test_query(spark):
     assert got == [(1, 100), (1, 100), (1, 103)]
     assert sorted((r.item_id, r.doc_id) for r in find_leaks(i, d, block_chars=100).collect()) == got  # in blocks
     assert find_leaks(i.limit(0), d).count() == 0 and find_leaks(i, d.limit(0)).count() == 0
+
+
+def test_each_token_is_read_once(monkeypatch):
+    """The letters of a token, and what they may be, are worked out once, however often and on however many pages it stands."""
+    words, calls = PASSAGE.split(), []
+    passages = Passages([(1, PASSAGE)], 18, 5, 3)
+    monkeypatch.setattr(leaks, "letters", lambda token, whole=leaks.letters: calls.append(token) or whole(token))
+    for _ in range(3):
+        page = Page(passages, [PASSAGE] * 40)
+        assert page.words == [[w.lower().strip(",.") for w in words]] * 40 and page.may_hold(0)
+    assert sorted(calls) == sorted(set(words))

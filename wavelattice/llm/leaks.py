@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 from itertools import accumulate, product
+from operator import sub
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -93,6 +95,7 @@ def same_word(a: str, b: str) -> bool:
     return abs(len(a) - len(b)) <= most and any(a[i : i + n] in b for i, n in _cuts(len(a), most)) and myers(a, b, most) <= most
 
 
+@cache  # words are short: few pairs of numbers
 def _cuts(n: int, most: int) -> list[tuple[int, int]]:
     """Start and width of the ``most + 1`` pieces of a word of ``n`` letters."""
     edges = [n * i // (most + 1) for i in range(most + 2)]
@@ -148,8 +151,10 @@ class Passages:
             for i, (at, size) in enumerate(_cuts(len(w), budget(w))):
                 self.word_pieces[len(w), i, w[at : at + size]].append(w)
         self.memo: dict[str, tuple[str, ...]] = {}
+        self.tokens: dict[str, tuple[str, tuple[str, ...]]] = {}
         self.beginnings: dict[str, frozenset[str]] = {}
-        self.joined: dict[tuple[str, str], tuple[str, ...]] = {}
+        self.joined: dict[str, dict[str, tuple[str, ...]]] = defaultdict(dict)
+        self.n_joined = 0
 
     def candidates(self, text: str) -> list[int]:
         """Passages of which ``text`` holds a piece."""
@@ -174,6 +179,17 @@ class Passages:
             self.memo[word] = got
         return got
 
+    def read(self, token: str) -> tuple[str, tuple[str, ...]]:
+        """The letters of a token of a line, and the words of the passages that these may be."""
+        got = self.tokens.get(token)
+        if got is None:
+            word = letters(token)
+            got = (word, self.similar(word) if word else ())
+            if len(self.tokens) > 200_000:  # only a cache
+                self.tokens.clear()
+            self.tokens[token] = got
+        return got
+
     def begun(self, half: str) -> frozenset[str]:
         """Words of the passages that begin like ``half``, the first part of a broken word, up to one misread letter."""
         got = self.beginnings.get(half)
@@ -186,17 +202,16 @@ class Passages:
             self.beginnings[half] = got
         return got
 
-
     def joins(self, half: str, rest: str, whole: frozenset[str]) -> tuple[str, ...]:
-        """The words of ``whole`` that a broken word's two parts are, or may be a misreading of."""
-        got = self.joined.get((half, rest))
-        if got is None:
-            n, ends = len(half) + len(rest), set(rest[-2:])
-            # one of the last two letters stands
-            got = tuple(w for w in whole if -3 <= len(w) - n <= 3 and not ends.isdisjoint(w[-2:]) and same_word(w, half + rest))
-            if len(self.joined) > 200_000:  # only a cache
-                self.joined.clear()
-            self.joined[half, rest] = got
+        """The words of ``whole`` that a broken word's two parts are, or may be a misreading of; kept in ``joined``."""
+        n, ends = len(half) + len(rest), set(rest[-2:])
+        # one of the last two letters stands
+        got = tuple(w for w in whole if -3 <= len(w) - n <= 3 and not ends.isdisjoint(w[-2:]) and same_word(w, half + rest))
+        if self.n_joined > 200_000:  # only a cache
+            self.joined.clear()
+            self.n_joined = 0
+        self.joined[half][rest] = got
+        self.n_joined += 1
         return got
 
 
@@ -212,32 +227,48 @@ class Page:
         self.known: set[str] = set()
         for line in lines:
             line = line.rstrip()
-            words = [w for w in map(letters, line.replace("—", " ").split()) if w]
-            similar = [passages.similar(w) for w in words]
+            read = [r for r in map(passages.read, line.replace("—", " ").split()) if r[0]]
+            words = [w for w, _ in read]
             self.words.append(words)
-            self.similar.append(similar)
+            self.similar.append([near for _, near in read])
             self.begun.append(passages.begun(words[-1]) if words and line[-1:] in BREAKS else frozenset())
-            self.known.update(*similar)
+            self.known.update(*[near for _, near in read if near])
+        #: The same with all words that a broken one may be.
+        self.maybe = self.known.union(*self.begun)
 
     def may_hold(self, k: int) -> bool:
         """Whether the page knows all but ``damaged`` words of a stretch of passage ``k``, broken words taken as whole."""
         p = self.passages
-        known = self.known.union(*self.begun)
-        sums = list(accumulate([w in known for w in p.words[k]], initial=0))
-        return any(b - a >= p.run - p.damaged for a, b in zip(sums, sums[p.run :]))
+        sums = list(accumulate(map(self.maybe.__contains__, p.words[k]), initial=0))
+        return max(map(sub, sums[p.run :], sums)) >= p.run - p.damaged
 
-    def complete(self) -> None:
-        """Joins broken words, and notes which words are neighbours."""
+    def complete(self, found: list[int]) -> None:
+        """Joins broken words of the passages ``found``, and notes where all words stand and which are neighbours."""
+        wanted = {w for k in found for w in self.passages.words[k]}
         #: For each line the words that its first one completes: the line of the first part and the word.
         self.completed: list[list[tuple[int, str]]] = []
         #: Pairs of neighbours within a line, and words at the ends and starts of lines.
         self.pairs: set[tuple[str, str]] = set()
         self.firsts: set[str] = set()
         self.lasts: set[str] = set()
-        halves: list[tuple[int, str, frozenset[str]]] = []
+        #: Where each word of these passages stands: line and place in the line, broken words at the line that completes them.
+        self.places: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        halves: list[tuple[int, str, frozenset[str], dict[str, tuple[str, ...]]]] = []
         for y, (words, similar, begun) in enumerate(zip(self.words, self.similar, self.begun)):
-            done = [(x, w) for x, half, whole in halves for w in self.passages.joins(half, words[0], whole)] if words else []
+            done = []
+            if words:
+                rest = words[0]
+                for x, half, whole, memo in halves:
+                    got = memo.get(rest)
+                    for w in self.passages.joins(half, rest, whole) if got is None else got:
+                        done.append((x, w))
             self.completed.append(done)
+            for c, near in enumerate(similar):
+                for w in near:
+                    if w in wanted:
+                        self.places[w].append((y, c))
+            for _, w in done:
+                self.places[w].append((y, 0))
             for left, right in zip(similar, similar[1:]):
                 if left and right:
                     self.pairs.update(product(left, right))
@@ -248,7 +279,8 @@ class Page:
                 self.firsts.update(similar[0], first)
                 self.lasts.update(similar[-1], first if len(words) == 1 else ())
                 if begun:
-                    halves.append((y, words[-1], begun))
+                    if not begun.isdisjoint(wanted):
+                        halves.append((y, words[-1], begun, self.passages.joined[words[-1]]))
                     self.lasts.update(*similar[-2:-1])
 
 
@@ -263,9 +295,8 @@ def longest_run(passages: Passages, k: int, page: Page, lone: int) -> bool:
     """
     need, own = passages.run, passages.words[k]
     size = len(own)
-    known = [w in page.known for w in own]
-    sums = list(accumulate(known, initial=0))
-    if not any(sums[p + need] - sums[p] >= need - passages.damaged for p in range(size - need + 1)):
+    sums = list(accumulate(map(page.known.__contains__, own), initial=0))
+    if max(map(sub, sums[need:], sums)) < need - passages.damaged:
         return False
     linked = list(accumulate(((a, b) in page.pairs or (a in page.lasts and b in page.firsts) for a, b in zip(own, own[1:])), initial=0))
     where: dict[str, list[int]] = {}
@@ -299,12 +330,20 @@ def longest_run(passages: Passages, k: int, page: Page, lone: int) -> bool:
                 length = min(length, p - cut)
         return (length, gone)
 
-    for words, similar, completed in zip(page.words, page.similar, page.completed):
+    starts: dict[int, set[int]] = defaultdict(set)  # by line the places of words to follow
+    for w in where:
+        for y, c in page.places.get(w, ()):
+            starts[y].add(c)
+    for y, (words, similar, completed) in enumerate(zip(page.words, page.similar, page.completed)):
         before2, before = empty, empty  # states at the last two words of this line
-        for c, like in enumerate(similar):
-            if not like and not before and not before2 and not (c == 0 and completed):
+        if y not in starts:  # no word to follow, so no state at the end of the line
+            heads.append(above.copy() if len(words) == 1 and page.begun[y] else empty)
+            continue
+        here = starts[y]
+        for c in range(min(here), len(words)):
+            if not before and not before2 and c not in here:
                 continue
-            word = words[c]
+            like, word = similar[c], words[c]
             now: dict[int, State] = {}
             for w in like:
                 for p in where.get(w, ()):
@@ -362,7 +401,7 @@ def leaks_in(passages: Passages, text: str, x, y, lone: int) -> list[int]:
     found = [k for k in found if page.may_hold(k)]
     if not found:
         return []
-    page.complete()
+    page.complete(found)
     return [item for k in found if longest_run(passages, k, page, lone) for item in passages.items[k]]
 
 

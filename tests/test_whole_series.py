@@ -4,6 +4,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from wavelattice.operators import distances
 from wavelattice.plans import registry
 
 
@@ -35,3 +36,25 @@ def test_correlations_of_whole_series(spark, folder):
     for (i, j), v in got.items():
         both = wide[[i, j]].dropna()
         assert v == pytest.approx(1 - abs(np.corrcoef(both[i], both[j])[0, 1]), abs=2e-6)
+
+
+def test_pairs_leave_in_batches_of_few_blocks(spark, monkeypatch):
+    """Blocks don't grow in number with the series, pairs leave a task in bounded batches, and users who share no day make no pair (as in SQL)."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 12))
+    x[rng.random(x.shape) < 0.3] = np.nan
+    x[88, 6:], x[89, :6], x[87] = np.nan, np.nan, 2.5
+    panel = spark.createDataFrame([(k, t, float(v)) for k, row in enumerate(x) for t, v in enumerate(row)], "series_id long, t long, value double")
+    monkeypatch.setattr(distances, "TILE_PAIRS", 7)
+    out = distances.pair_distances(panel, "overlap_correlation", block=2, decimals=6)
+    got = {(r.i, r.j): r.dist for r in out.collect()}
+    assert out.select("i", "j").count() == len(got) and (88, 89) not in got
+    sent = distances.pair_tiles(distances.pack(panel), lambda left, right: lambda lo, hi: np.full((hi - lo, len(right)), float(len(left) + len(right))), least=2)
+    assert sent.count() == 90 * 89 // 2 and sent.agg({"dist": "max"}).first()[0] >= 10  # 45 blocks of two would have at most a few
+    for i in range(90):
+        for j in range(i + 1, 90):
+            both = ~(np.isnan(x[i]) | np.isnan(x[j]))
+            want = 1 - abs(np.corrcoef(x[i][both], x[j][both])[0, 1]) if both.sum() > 1 and x[i][both].std() > 0 and x[j][both].std() > 0 else None
+            assert ((i, j) in got) == (both.sum() > 0)
+            if both.sum():
+                assert got[i, j] is None if want is None else got[i, j] == pytest.approx(want, abs=2e-6)

@@ -11,8 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavelattice.operators.graph import assortativity, clustering_stats, core_numbers, degrees, node_triangles, simple_edges, summary
-from wavelattice.session import cut_lineage
+from wavelattice.operators.graph import assortativity, clustering_stats, core_numbers, degrees, node_triangles, simple_edges, summary, triangles
+from wavelattice.operators.grouped import stream_groups
+from wavelattice.session import cut_lineage, written
 
 
 def _per_graph(nodes: DataFrame, edges: DataFrame, fn, schema: str) -> DataFrame:
@@ -107,26 +108,165 @@ def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.join(small_world(nodes, e).select("series_id", "l", "sigma"), "series_id")
 
 
-def motifs4(edges: DataFrame) -> DataFrame:
+#: Kinds of connected quadruples, fuller ones first.
+KINDS4 = ("K4", "diamond", "C4", "paw", "K13", "P4")
+#: Wedges held at once where cycles of four are counted.
+WEDGES = 4_000_000
+
+
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``counts``' places its number repeated that often, and 0, 1, ... within each."""
+    of = np.repeat(np.arange(len(counts)), counts)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _parts4(u: np.ndarray, v: np.ndarray, n: int, series: np.ndarray, k: int) -> np.ndarray:
+    """Parts of four nodes (K4, diamond, C4, paw, K13, P4), not only full ones, of the ``k`` graphs in the edges u, v of nodes 0..n-1.
+
+    Nodes are in order of degree, every arc leads to the later end; ``series`` is each node's graph.
+    """
+    degree = np.bincount(np.r_[u, v], minlength=n)
+    rank = np.empty(n, np.int64)
+    rank[np.argsort(degree, kind="stable")] = np.arange(n)
+    own = np.empty(n, np.int64)
+    own[rank] = series
+    d = np.sort(degree, kind="stable").astype(np.int64)
+    a, b = np.minimum(rank[u], rank[v]), np.maximum(rank[u], rank[v])
+    arc = np.sort(a * n + b)
+    a, b = arc // n, arc % n
+    out, first = np.bincount(a, minlength=n), np.searchsorted(a, np.arange(n))
+
+    def total(nodes: np.ndarray, x: np.ndarray) -> np.ndarray:
+        sums = np.zeros(k, np.int64)
+        np.add.at(sums, own[nodes], x)  # bincount sums doubles
+        return sums
+
+    def edge(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(arc, p * n + q), len(arc) - 1)
+        return at, arc[at] == p * n + q
+
+    on = np.zeros(len(arc), np.int64)  # triangles of each edge
+    tri = np.zeros(n, np.int64)
+    k4 = np.zeros(k, np.int64)
+    # Arcs are taken in turns, so that few wedges are held; a turn has whole nodes.
+    after = first[a] + out[a] - np.arange(len(arc)) - 1  # later arcs of the same start
+    for lo, hi in _turns(np.add.reduceat(after, first[out > 0]) if len(arc) else after, out[out > 0]):
+        x, place = _spread(after[lo:hi])
+        x = x + lo
+        y = x + 1 + place
+        z, closed = edge(b[x], b[y])
+        x, y, z = x[closed], y[closed], z[closed]
+        for e in (x, y, z):
+            np.add.at(on, e, 1)
+        for e in (a[x], b[x], b[y]):
+            np.add.at(tri, e, 1)
+        # Triangles of one first arc, in order of their last node: two of them whose last nodes are joined make a K4.
+        rest = np.cumsum(np.bincount(x - lo, minlength=hi - lo))[x - lo] - np.arange(len(x)) - 1
+        step = max(1, WEDGES // int(rest.max(initial=1)))
+        for f in range(0, len(x), step):
+            t, place = _spread(rest[f : f + step])
+            t = t + f
+            full = edge(b[y[t]], b[y[t + 1 + place]])[1]
+            k4 += total(a[x[t]][full], np.ones(int(full.sum()), np.int64))
+    # Cycles of four by their latest node v: pairs of neighbours u of v and w of u, both before v.
+    every = np.sort(np.r_[a * n + b, b * n + a])
+    near_u, near_w = every // n, every % n
+    begin = np.searchsorted(near_u, np.arange(n))
+    before = np.lexsort((a, b))  # arcs by their later end
+    v_of, u_of = b[before], a[before]
+    c4 = np.zeros(k, np.int64)
+    ends = np.bincount(v_of, minlength=n)
+    for lo, hi in _turns(np.add.reduceat(d[u_of], np.searchsorted(v_of, np.flatnonzero(ends))) if len(arc) else d[:0], ends[ends > 0]):
+        e, place = _spread(d[u_of[lo:hi]])
+        v, w = v_of[lo:hi][e], near_w[begin[u_of[lo:hi][e]] + place]
+        ok = w < v
+        pair, c = np.unique(v[ok] * n + w[ok], return_counts=True)
+        c4 += total(pair // n, c * (c - 1) // 2)
+    node = np.arange(n)
+    paths = total(a, (d[a] - 1) * (d[b] - 1)) - total(node, tri)
+    return np.stack([k4, total(a, on * (on - 1) // 2), c4, total(node, tri * (d - 2)), total(node, d * (d - 1) * (d - 2) // 6), paths], 1)
+
+
+def _turns(work: np.ndarray, arcs: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of arcs, whole groups of ``arcs`` each, of about ``WEDGES`` of ``work`` and not empty."""
+    turn = np.cumsum(work) // WEDGES
+    ends = np.cumsum(arcs)
+    last = np.flatnonzero(np.r_[turn[1:] != turn[:-1], True][: len(turn)])
+    stops = ends[last].tolist()
+    return list(zip([0, *stops[:-1]], stops))
+
+
+def _full4(parts: list) -> list:
+    """Quadruples of each kind from ``_parts4``, columns or arrays: parts of kinds with more edges are taken off."""
+    k4, diamond, c4, paw, star, path = parts
+    diamond = diamond - 6 * k4
+    c4 = c4 - diamond - 3 * k4
+    paw = paw - 4 * diamond - 12 * k4
+    star = star - paw - 2 * diamond - 4 * k4
+    return [k4, diamond, c4, paw, star, path - 2 * paw - 4 * c4 - 6 * diamond - 12 * k4]
+
+
+def motifs4(edges: DataFrame, most_local: int = 5_000_000) -> DataFrame:
     """``series_id, motif, n``: connected quadruples by kind (K4, diamond, C4, paw, K13, P4).
 
-    Quadruples grow from connected triples by one neighbour, so that no unconnected one is made;
-    the kind follows from the number of edges and the greatest degree.
+    No quadruple is made but the K4 and the pairs that close a cycle: parts of four nodes are counted from degrees, triangles of nodes
+    and edges, and wedges, then parts of fuller kinds are taken off.  Graphs of at most ``most_local`` edges are counted
+    many to a batch; larger ones by joins.
     """
-    e = simple_edges(edges)
-    b = e.select("series_id", F.col("src").alias("u"), F.col("dst").alias("v")).unionByName(e.select("series_id", F.col("dst").alias("u"), F.col("src").alias("v")))
-    wedge = b.select("series_id", F.col("u").alias("m"), F.col("v").alias("p")).join(b.select("series_id", F.col("u").alias("m"), F.col("v").alias("q")), ["series_id", "m"]).where("p < q")
-    trio = wedge.select("series_id", F.array_sort(F.array("m", "p", "q")).alias("t")).distinct()
-    grown = trio.select("series_id", "t", F.explode("t").alias("u")).join(b, ["series_id", "u"]).where(~F.array_contains("t", F.col("v")))
-    four = grown.select("series_id", F.array_sort(F.concat("t", F.array("v"))).alias("s")).distinct()
-    pairs = four.select("series_id", "s", F.inline(F.array(*[F.struct(F.col("s")[i].alias("src"), F.col("s")[j].alias("dst")) for i in range(4) for j in range(i + 1, 4)])))
-    ends = pairs.join(e, ["series_id", "src", "dst"]).select("series_id", "s", F.explode(F.array("src", "dst")).alias("x"))
-    deg = ends.groupBy("series_id", "s", "x").agg(F.count(F.lit(1)).alias("k")).groupBy("series_id", "s").agg((F.sum("k") / 2).cast("int").alias("m"), F.max("k").alias("top"))
-    kind = (
-        F.when(F.col("m") == 6, "K4").when(F.col("m") == 5, "diamond").when((F.col("m") == 4) & (F.col("top") == 2), "C4").when(F.col("m") == 4, "paw")
-        .when(F.col("top") == 3, "K13").otherwise("P4")
-    )
-    return deg.groupBy("series_id", kind.alias("motif")).agg(F.count(F.lit(1)).alias("n"))
+    simple, _ = written(simple_edges(edges))
+    large = simple.groupBy("series_id").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > most_local).select("series_id")
+    any_large = large.limit(1).count() > 0
+    small = simple.join(large, "series_id", "left_anti") if any_large else simple
+    kind = edges.schema["series_id"].dataType.simpleString()
+
+    def count(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        sizes = rows["near"].map(len).to_numpy()
+        graph = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(rows)]))
+        u = np.repeat(np.stack([graph, rows["node"].to_numpy()], 1), sizes, 0)
+        v = np.concatenate(rows["near"].to_list()) if len(rows) else np.empty(0, np.int64)
+        # Nodes are numbered over the whole batch.
+        order = np.lexsort((np.r_[u[:, 1], v], np.r_[u[:, 0], u[:, 0]]))
+        g, node = np.r_[u[:, 0], u[:, 0]][order], np.r_[u[:, 1], v][order]
+        new = np.r_[True, (g[1:] != g[:-1]) | (node[1:] != node[:-1])]
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        full = np.stack(_full4(list(_parts4(number[: len(v)], number[len(v) :], int(new.sum()), g[new], len(starts)).T)), 1)
+        at, what = np.nonzero(full)
+        return pd.DataFrame({"series_id": rows["series_id"].to_numpy()[starts[at]], "motif": np.asarray(KINDS4)[what], "n": full[at, what]})
+
+    near = small.groupBy("series_id", F.col("src").alias("node")).agg(F.collect_list("dst").alias("near"))
+    out = stream_groups(near, ["series_id"], "node", count, f"series_id {kind}, motif string, n long")
+    return out.unionByName(_motifs4_joined(simple.join(large, "series_id", "left_semi"))) if any_large else out
+
+
+def _motifs4_joined(simple: DataFrame) -> DataFrame:
+    """``motifs4`` of graphs too large for a task, the same counts by joins."""
+    e, _ = written(simple)
+    deg = e.select("series_id", F.explode(F.array("src", "dst")).alias("u")).groupBy("series_id", "u").agg(F.count(F.lit(1)).alias("d"))
+    t, _ = written(triangles(e))
+    one = lambda x: F.sum(x).cast("long")
+    put = lambda df, i, x: df.groupBy("series_id").agg(one(x).alias("x")).select("series_id", F.lit(i).alias("i"), "x")
+    sides = F.inline(F.array(*[F.struct(F.col(p).alias("src"), F.col(q).alias("dst"), F.col(r).alias("far")) for p, q, r in (("a", "b", "c"), ("a", "c", "b"), ("b", "c", "a"))]))
+    with_sides = t.select("series_id", sides)
+    on = with_sides.groupBy("series_id", "src", "dst").agg(F.count(F.lit(1)).alias("k"))
+    tri = t.select("series_id", F.explode(F.array("a", "b", "c")).alias("u")).groupBy("series_id", "u").agg(F.count(F.lit(1)).alias("t"))
+    with_d = e.join(deg.select("series_id", F.col("u").alias("src"), F.col("d").alias("ds")), ["series_id", "src"]).join(deg.select("series_id", F.col("u").alias("dst"), F.col("d").alias("dd")), ["series_id", "dst"])
+    base = t.select("series_id", F.col("a").alias("p"), F.col("b").alias("q"), F.col("c").alias("r"))
+    top = base.join(base.withColumnRenamed("r", "s"), ["series_id", "p", "q"]).where("r < s").join(e.select("series_id", F.col("src").alias("r"), F.col("dst").alias("s")), ["series_id", "r", "s"])
+    # Cycles by their latest node in order of degree; ranks are (degree, node).
+    both = with_d.select("series_id", F.inline(F.array(F.struct(F.struct(F.col("ds").alias("d"), F.col("src").alias("n")).alias("u"), F.struct(F.col("dd").alias("d"), F.col("dst").alias("n")).alias("v")), F.struct(F.struct(F.col("dd").alias("d"), F.col("dst").alias("n")).alias("u"), F.struct(F.col("ds").alias("d"), F.col("src").alias("n")).alias("v")))))
+    cycle = both.where(F.col("u") < F.col("v")).join(both.select("series_id", "u", F.col("v").alias("w")), ["series_id", "u"]).where(F.col("w") < F.col("v"))
+    pairs = cycle.groupBy("series_id", "v", "w").agg(F.count(F.lit(1)).alias("c"))
+    rows = [
+        put(top, 0, F.lit(1)), put(on, 1, F.expr("k * (k - 1) div 2")), put(pairs, 2, F.expr("c * (c - 1) div 2")), put(tri.join(deg, ["series_id", "u"]), 3, F.expr("t * (d - 2)")),
+        put(deg, 4, F.expr("d * (d - 1) * (d - 2) div 6")), put(with_d, 5, F.expr("(ds - 1) * (dd - 1)")), put(tri, 5, -F.col("t")),
+    ]
+    every = rows[0]
+    for x in rows[1:]:
+        every = every.unionByName(x)
+    parts = every.groupBy("series_id").agg(*[F.coalesce(F.sum(F.when(F.col("i") == i, F.col("x"))), F.lit(0)).alias(f"p{i}") for i in range(6)])
+    full = _full4([F.col(f"p{i}") for i in range(6)])
+    return parts.select("series_id", F.inline(F.array(*[F.struct(F.lit(m).alias("motif"), x.cast("long").alias("n")) for m, x in zip(KINDS4, full)]))).where("n > 0")
 
 
 def modularity(nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:

@@ -5,25 +5,80 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavelattice.operators.graph import both_ways, clustering_stats, core_numbers, degrees, motifs3, node_triangles, simple_edges
 from wavelattice.operators.graphpaths import communities, modularity, motifs4, path_lengths
+from wavelattice.operators.grouped import stream_groups
 from wavelattice.session import discard, written
 
 METRICS = ("clustering", "paths", "modularity")
 COMMUNITY_METHODS = ("louvain", "label_propagation")
 
 
-def label_propagation(nodes: DataFrame, edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def _propagate(u: np.ndarray, v: np.ndarray, graph: np.ndarray, turn: np.ndarray, most_rounds: int) -> np.ndarray:
+    """Labels of nodes 0..n-1, given both directions of the edges in order of ``u``, each node's graph and its turn (0 or 1).
+
+    Nodes of a graph are numbered in their order.  A graph of which two rounds in a row change nothing has come to rest.
+    """
+    n = len(graph)
+    c = np.arange(n)
+    calm = np.zeros(int(graph.max(initial=-1)) + 1, np.int64)
+    sides = [(u[turn[u] == i], v[turn[u] == i]) for i in (0, 1)]
+    for i in range(most_rounds):
+        a, b = sides[i % 2]
+        vote, count = np.unique(a * n + c[b], return_counts=True)
+        node, label = vote // n, vote % n
+        best = np.lexsort((label, label != c[node], -count, node))
+        first = best[np.r_[True, node[best][1:] != node[best][:-1]][: len(best)]]
+        moved = node[first][label[first] != c[node[first]]]
+        c[node[first]] = label[first]
+        calm += 1
+        calm[graph[moved]] = 0
+        if (calm >= 2).all():
+            break
+        awake = calm < 2
+        if not awake.all():
+            sides = [(a[awake[graph[a]]], b[awake[graph[a]]]) for a, b in sides]
+    return c
+
+
+def label_propagation(nodes: DataFrame, edges: DataFrame, most_rounds: int = 50, most_local: int = 5_000_000) -> DataFrame:
     """``series_id, node, community``: every node takes the label most common among its neighbours.
 
     Ties keep a node's own label where it is among the best, else the smallest wins.  Nodes of even and odd hash take turns, so that
-    two neighbours don't swap labels for ever.  Rounds are tables in the checkpoint folder; they end when two in a row
-    change nothing, or after ``most_rounds``, which is part of the method: labels need not settle.
+    two neighbours don't swap labels for ever.  Rounds end when two in a row change nothing, or after ``most_rounds``,
+    which is part of the method: labels need not settle.  Graphs of at most ``most_local`` edges are followed to their end many to a batch; the
+    rounds of larger ones are tables in the checkpoint folder.
     """
-    e = both_ways(simple_edges(edges))
+    kind = edges.schema["series_id"].dataType.simpleString()
+    simple, _ = written(simple_edges(edges))
+    large = simple.groupBy("series_id").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > most_local).select("series_id")
+    any_large = large.limit(1).count() > 0
+    small = simple.join(large, "series_id", "left_anti") if any_large else simple
+    near = both_ways(small).groupBy("series_id", F.col("u").alias("node")).agg(F.collect_list("v").alias("near")).withColumn("turn", F.pmod(F.xxhash64("node"), F.lit(2)))
+
+    def follow(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        ids, sizes = rows["node"].to_numpy(), rows["near"].map(len).to_numpy()
+        ends = np.r_[starts[1:], len(rows)]
+        graph = np.repeat(np.arange(len(starts)), ends - starts)
+        v = np.concatenate([np.searchsorted(ids[lo:hi], np.concatenate(rows["near"].iloc[lo:hi].to_list())) + lo for lo, hi in zip(starts, ends)])
+        c = _propagate(np.repeat(np.arange(len(rows)), sizes), v, graph, rows["turn"].to_numpy(), most_rounds)
+        return pd.DataFrame({"series_id": rows["series_id"], "node": rows["node"], "community": ids[c]})
+
+    found = stream_groups(near, ["series_id"], "node", follow, f"series_id {kind}, node long, community long")
+    if any_large:
+        part = simple.join(large, "series_id", "left_semi")
+        found = found.unionByName(_propagation_rounds(part.select("series_id", F.explode(F.array("src", "dst")).alias("node")).distinct(), part, most_rounds))
+    return nodes.select("series_id", "node").join(found, ["series_id", "node"], "left").select("series_id", "node", F.coalesce("community", "node").alias("community"))
+
+
+def _propagation_rounds(nodes: DataFrame, simple: DataFrame, most_rounds: int) -> DataFrame:
+    """``label_propagation`` of graphs too large for a task: a round is a join and two aggregations."""
+    e, _ = written(both_ways(simple))
     turn = F.pmod(F.xxhash64("node"), F.lit(2))
     label, path = written(nodes.select("series_id", "node", F.col("node").alias("c")))
     calm = 0

@@ -4,7 +4,9 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from wavelattice.operators import graphpaths
+from wavelattice.operators.combined import motif_counts
 
 KIND = {(3, (1, 1, 2, 2)): "P4", (3, (1, 1, 1, 3)): "K13", (4, (2, 2, 2, 2)): "C4", (4, (1, 2, 2, 3)): "paw", (5, (2, 2, 3, 3)): "diamond", (6, (3, 3, 3, 3)): "K4"}
 
@@ -31,3 +33,11 @@ def test_motifs4_are_those_of_all_quadruples(spark, monkeypatch, most_local):
     df = spark.createDataFrame(edges, "series_id string, src long, dst long")
     got = {(r.series_id, r.motif): r.n for r in graphpaths.motifs4(df, most_local).collect()}
     assert got == brute(edges)
+
+
+def test_motif_counts_of_hub(spark):
+    """A hub of 20 000 leaves has 1.3e12 quadruples: before, each was made."""
+    edges = spark.range(1, 20_001).select(F.lit("hub").alias("series_id"), F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+    nodes = spark.range(20_001).select(F.lit("hub").alias("series_id"), F.col("id").alias("node"))
+    assert [tuple(r) for r in motif_counts(nodes, edges, "undirected-4").collect()] == [("hub", "K13", 20_000 * 19_999 * 19_998 // 6)]
+    assert motif_counts(nodes, edges.limit(0), "undirected-4").count() == 0
